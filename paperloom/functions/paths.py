@@ -78,7 +78,7 @@ def page_name(number: Column, fmt: Column) -> Column:
 
 
 def training_name(subject: Column, year: Column, page_stem: Column) -> Column:
-    return F.concat(F.concat_ws("_", subject, year, page_stem), F.lit(".jpg"))
+    return F.concat(subject, F.lit("_"), year, F.lit("_"), page_stem, F.lit(".jpg"))
 
 
 def _decode(c: Column) -> Column:
