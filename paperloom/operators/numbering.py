@@ -340,10 +340,10 @@ def _frames(records: Iterator[dict], names: list[str], size: int = 20_000) -> It
     for record in records:
         held.append(record)
         if len(held) >= size:
-            yield pd.DataFrame(held, columns=names)
+            yield pd.DataFrame(held, columns=names, dtype=object)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=names)
+        yield pd.DataFrame(held, columns=names, dtype=object)
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
