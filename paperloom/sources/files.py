@@ -15,11 +15,19 @@ def file_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
     """SHA-256 of every file below *root*, by key. Hashing runs where the files are read."""
-    return _files(spark, root).select("object_key", F.sha2("content", 256).alias("content_hash"))
+    return keyed_digests(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+
+
+def keyed_digests(files: DataFrame, root: str) -> DataFrame:
+    """Keys and digests of binary file rows, batch or streaming."""
+    return _keyed(files, root).select("object_key", F.sha2("content", 256).alias("content_hash"))
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _keyed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root)
+
+
+def _keyed(files: DataFrame, root: str) -> DataFrame:
     # Paths come back as URIs; drop the scheme so they compare with the root as given.
     path = F.regexp_replace("path", r"^file:/+", "/")
     return files.withColumn("object_key", paths.object_key(root, path))
