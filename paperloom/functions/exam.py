@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import unicode_trim
+from paperloom.functions.text import unicode_trim, whole_number
 
 # Fixed values of the corpus.
 OPTIONS_PER_BOOK = 10
@@ -74,13 +74,13 @@ def answer_matches(part: Column, key: Column, reply: Column, spellings: Column |
     """
     said = unicode_trim(reply)
     spellings = accepted_spellings(key) if spellings is None else spellings
-    by_number = said.try_cast("long") == unicode_trim(key).try_cast("long")
+    by_number = whole_number(said) == whole_number(unicode_trim(key))
     return F.coalesce(F.when(part == "A", by_number).otherwise(F.array_contains(spellings, said)), F.lit(False))
 
 
 def reply_reject_reason(part: Column, key: Column, reply: Column) -> Column:
     """Why a reply could not be judged: a keyed Part A question answered with no integer."""
-    unreadable = unicode_trim(reply).try_cast("long").isNull()
+    unreadable = whole_number(unicode_trim(reply)).isNull()
     return F.when((part == "A") & key.isNotNull() & unreadable, "not an integer")
 
 

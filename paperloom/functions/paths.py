@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import whole_number
+
 # File suffixes that count as images, and the corpus naming rules.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff")
 PAGES_SEGMENT = "pages"
@@ -50,14 +52,14 @@ def page_subject_year(path: Column) -> Column:
 
 def sheet_year_number(sheet_stem: Column) -> Column:
     """``struct(year, sheet)`` of ``2016`` or ``2016_2``; a prefix match, sheet 1 when unnamed."""
-    year = F.regexp_extract(sheet_stem, r"^(\d{4})", 1).try_cast("int")
-    sheet = F.regexp_extract(sheet_stem, r"^\d{4}_(\d+)", 1).try_cast("int")
+    year = whole_number(F.regexp_extract(sheet_stem, r"^(\d{4})", 1), "int")
+    sheet = whole_number(F.regexp_extract(sheet_stem, r"^\d{4}_(\d+)", 1), "int")
     return F.when(year.isNotNull(), F.struct(year.alias("year"), F.coalesce(sheet, F.lit(1)).alias("sheet")))
 
 
 def question_number(path: Column) -> Column:
     """The number an image file is named by, null for any other name."""
-    return F.when(is_image(path), F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+$", 1).try_cast("int"))
+    return F.when(is_image(path), whole_number(F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+$", 1), "int"))
 
 
 def question_path(year_dir: Column, option: Column, part: Column, number: Column, fmt: Column) -> Column:

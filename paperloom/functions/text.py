@@ -30,6 +30,15 @@ def unicode_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(UNICODE_SPACES))
 
 
+def whole_number(c: Column, kind: str = "long") -> Column:
+    """The integer a text spells, null for any other text.
+
+    The pattern is tried first: a failed cast builds an exception per row, which costs more than all
+    the rest of a scoring query.
+    """
+    return F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast(kind))
+
+
 def natural_sort_key(stem: Column) -> Column:
     """A string whose plain order compares digit runs as numbers and the rest lower-cased.
 
@@ -50,7 +59,7 @@ def natural_order(name: Column) -> list[Column]:
 def question_key(raw: Column) -> Column:
     """``struct(part, number)`` of a typed key such as `` а12 ``, null when it is no key."""
     folded = F.translate(F.upper(unicode_trim(raw)), PART_LETTERS_CYRILLIC, PART_LETTERS_LATIN)
-    number = F.regexp_extract(folded, r"^[AB](\d+)$", 1).try_cast("int")
+    number = whole_number(F.regexp_extract(folded, r"^[AB](\d+)$", 1), "int")
     return F.when(number.isNotNull(), F.struct(F.substring(folded, 1, 1).alias("part"), number.alias("number")))
 
 

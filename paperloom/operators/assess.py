@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import exam
-from paperloom.functions.text import unicode_trim
+from paperloom.functions.text import display_answer, unicode_trim, whole_number
 from paperloom.plans.ordered import running
 
 
@@ -24,22 +24,30 @@ def first_answers(replies: DataFrame, order: list[str]) -> DataFrame:
 def score_answers(replies: DataFrame, questions: DataFrame) -> DataFrame:
     """Replies with their question's part, number and key as it stands now, and the verdict.
 
-    The accepted spellings are worked out on the question side, before the join.
+    Everything that depends on the key alone is worked out on the question side, and everything that
+    depends on the reply alone before the join, each once. The rule is :func:`exam.answer_matches`.
     """
+    answer = F.col("answer")
     keys = questions.select(
         "question_id",
         "part",
         "question_number",
-        F.col("answer").alias("correct_answer"),
-        F.when(F.col("part") == "B", exam.accepted_spellings(F.col("answer"))).alias("_spellings"),
+        answer.alias("correct_answer"),
+        F.when(F.col("part") == "A", whole_number(unicode_trim(answer))).alias("_number"),
+        F.when(F.col("part") == "B", exam.accepted_spellings(answer)).alias("_spellings"),
     )
-    part, key, reply = F.col("part"), F.col("correct_answer"), F.col("student_answer")
+    said = replies.withColumn("student_answer", unicode_trim(F.col("student_answer")))
+    said = said.withColumn("_said_number", whole_number(F.col("student_answer")))
+    is_a = F.col("part") == "A"
+    right = F.when(is_a, F.col("_said_number") == F.col("_number")).otherwise(
+        F.array_contains("_spellings", F.col("student_answer"))
+    )
+    unreadable = is_a & F.col("correct_answer").isNotNull() & F.col("_said_number").isNull()
     return (
-        replies.join(keys, "question_id")
-        .withColumn("is_correct", exam.answer_matches(part, key, reply, F.col("_spellings")))
-        .withColumn("reject_reason", exam.reply_reject_reason(part, key, reply))
-        .withColumn("student_answer", unicode_trim(reply))
-        .drop("_spellings")
+        said.join(keys, "question_id")
+        .withColumn("is_correct", F.coalesce(right, F.lit(False)))
+        .withColumn("reject_reason", F.when(unreadable, "not an integer"))
+        .drop("_spellings", "_number", "_said_number")
     )
 
 
@@ -180,8 +188,6 @@ def time_on_question(ts: Column, shown_ts: Column) -> Column:
 
 def immediate_verdicts(replies: DataFrame, questions: DataFrame) -> DataFrame:
     """Random-mode feedback: the verdict and the key in display form, nothing recorded."""
-    from paperloom.functions.text import display_answer
-
     scored = score_answers(replies, questions)
     return scored.withColumn("key_shown", display_answer(F.col("correct_answer")))
 

@@ -10,10 +10,11 @@ per segment), and then every segment is folded from the state it is really enter
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +48,9 @@ FOLDED = (
     "entry_option int, entry_part string, entry_question long, exit_option int, exit_part string, exit_question long, "
     "fault_position long, fault_option int, fault_part string, fault_number long, fault_free long, continue_helps boolean"
 )
+SUMMARY = "book string, _seg long, summary string"
+STATE = "book string, _seg long, _state string"
+Batches = Iterator[pa.RecordBatch]
 _FOLDED_NAMES = [c.split()[0] for c in FOLDED.split(", ")]
 
 
@@ -316,54 +320,51 @@ class _Book:
         return _Book(option, part, question, carry, {(o, p): n for o, p, n in highs})
 
 
-def _rows(batches: Iterator[pd.DataFrame]):
-    for batch in batches:
-        columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in _INPUT]
-        yield from map(_Row, zip(*columns))
-
+_Row = namedtuple("_Row", [name.lstrip("_") for name in _INPUT])
 
-class _Row:
-    """One fold row by name."""
 
-    __slots__ = _INPUT
-
-    def __init__(self, values) -> None:
-        for name, value in zip(_INPUT, values):
-            setattr(self, name, value)
-        for name in ("reading_option", "entry_option", "entry_question"):
-            value = getattr(self, name)
-            setattr(self, name, None if value is None else int(value))
+def _rows(batches: Batches) -> Iterator[_Row]:
+    """Fold rows one by one; only a batch at a time is in Python."""
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in _INPUT]
+        yield from map(_Row._make, zip(*columns))
 
 
-def _frames(records: Iterator[dict], names: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+def _batches(records: Iterator[dict], schema: str, size: int = 20_000) -> Batches:
+    wanted = _arrow_schema(schema)
     held: list[dict] = []
     for record in records:
         held.append(record)
         if len(held) >= size:
-            yield pd.DataFrame(held, columns=names, dtype=object)
+            yield pa.RecordBatch.from_pylist(held, schema=wanted)
             held = []
     if held:
-        yield pd.DataFrame(held, columns=names, dtype=object)
+        yield pa.RecordBatch.from_pylist(held, schema=wanted)
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (column.split() for column in schema.split(", "))])
+
+
+def _fold(batches: Batches) -> Batches:
     """Fold sorted rows, one row at a time: memory does not grow with a book or a page."""
 
     def records():
         at, book = None, _Book()
         where = {}
         for row in _rows(batches):
-            if (row.book, row._seg) != at:
+            if (row.book, row.seg) != at:
                 if at is not None and (last := book.leave()):
                     yield last | where
-                at, book = (row.book, row._seg), _Book()
+                at, book = (row.book, row.seg), _Book()
                 book.live = False
-            if row._step == _STATE:
-                book = _Book.load(row._state)
+            if row.step == _STATE:
+                book = _Book.load(row.state)
                 book.live = False
-            elif row._step == _FOLDER:
+            elif row.step == _FOLDER:
                 book.highs[(row.reading_option, row.reading_part)] = row.entry_question
-            elif row._step == _HEADER:
+            elif row.step == _HEADER:
                 if last := book.leave():
                     yield last | where
                 where = {"book": row.book, "page_key": row.page_key, "page": row.page}
@@ -374,7 +375,7 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if at is not None and (last := book.leave()):
             yield last | where
 
-    return _frames(records(), _FOLDED_NAMES)
+    return _batches(records(), FOLDED)
 
 
 @dataclass
@@ -462,7 +463,7 @@ def _entry_states(top: int, ahead: bool) -> list[tuple[int, str, bool]]:
 def _summaries(top: int, ahead: bool):
     """Sum each segment up as a table from entry state to exit state."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Batches) -> Batches:
         def records():
             at, tracks, folders, entry = None, {}, [], None
 
@@ -473,29 +474,29 @@ def _summaries(top: int, ahead: bool):
                 return {"book": at[0], "_seg": at[1], "summary": json.dumps([folders, entry, table])}
 
             for row in _rows(batches):
-                if (row.book, row._seg) != at:
+                if (row.book, row.seg) != at:
                     if at is not None:
                         yield close()
-                    at, folders, entry = (row.book, row._seg), [], None
+                    at, folders, entry = (row.book, row.seg), [], None
                     tracks = {s: _Track(*s) for s in _entry_states(top, ahead)}
                     for track in tracks.values():
                         track.live = False
-                if row._step == _FOLDER:
+                if row.step == _FOLDER:
                     folders.append([row.reading_option, row.reading_part, row.entry_question])
-                elif row._step == _HEADER:
+                elif row.step == _HEADER:
                     if row.entry_option is not None and row.detected and not row.skip:
                         entry = [row.entry_option, row.entry_part or "", row.entry_question or 0]
                     for track in tracks.values():
                         track.leave()
                         track.enter(row)
-                elif row._step == _REGION:
+                elif row.step == _REGION:
                     for track in tracks.values():
                         if track.live:
                             track.read(row)
             if at is not None:
                 yield close()
 
-        return _frames(records(), ["book", "_seg", "summary"])
+        return _batches(records(), SUMMARY)
 
     return run
 
@@ -503,11 +504,11 @@ def _summaries(top: int, ahead: bool):
 def _chain(top: int):
     """Walk a book's segment tables in order and hand each segment its entry state."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Batches) -> Batches:
         def records():
             at, book = None, _Book()
             for batch in batches:
-                for name, seg, summary in zip(batch["book"], batch["_seg"], batch["summary"]):
+                for name, seg, summary in zip(*(batch.column(c).to_pylist() for c in ("book", "_seg", "summary"))):
                     if name != at:
                         at, book = name, _Book()
                     folders, entry, table = json.loads(summary)
@@ -532,7 +533,7 @@ def _chain(top: int):
                     book.option = book.option if option is None else option
                     book.part = part
 
-        return _frames(records(), ["book", "_seg", "_state"])
+        return _batches(records(), STATE)
 
     return run
 
@@ -577,11 +578,15 @@ _WITHIN = ("page_key", "page", "_step", "ord")
 
 
 def number_books(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Fold books into question and page rows (see ``FOLDED``)."""
+    """Fold books into question and page rows (see ``FOLDED``).
+
+    The fold is the costly step and every report reads it, so it is written once and read from there.
+    """
     limit = group_limit(rows) if limit is None else limit
     if largest_group(rows, ["book"]) <= limit:
-        return rows.repartition("book").sortWithinPartitions("book", "_seg", *_WITHIN).mapInPandas(_fold, FOLDED)
-    return _number_in_segments(rows)
+        spread = rows.repartition("book").sortWithinPartitions("book", "_seg", *_WITHIN)
+        return cut_lineage(spread.mapInArrow(_fold, FOLDED))
+    return cut_lineage(_number_in_segments(rows))
 
 
 def _number_in_segments(rows: DataFrame) -> DataFrame:
@@ -597,10 +602,10 @@ def _number_in_segments(rows: DataFrame) -> DataFrame:
     numbered = cut.withColumn("_seg", F.col(_SLICE).cast("long") * F.lit(2**32) + step).select(*_INPUT)
     ordered = ["book", "_seg", *_WITHIN]
     spread = numbered.repartition("book", "_seg").sortWithinPartitions(*ordered)
-    summaries = spread.mapInPandas(_summaries(top, ahead), "book string, _seg long, summary string")
+    summaries = spread.mapInArrow(_summaries(top, ahead), SUMMARY)
     # One short row per segment: a book has at most as many as there are slices and reviewer moves.
     chained = summaries.repartition("book").sortWithinPartitions("book", "_seg")
-    states = cut_lineage(chained.mapInPandas(_chain(top), "book string, _seg long, _state string"))
+    states = cut_lineage(chained.mapInArrow(_chain(top), STATE))
     marked = states.select(
         "book", "_seg", "_state", F.lit(_STATE).alias("_step"), F.lit("").alias("page_key"), F.lit("").alias("page"),
     )
@@ -608,7 +613,7 @@ def _number_in_segments(rows: DataFrame) -> DataFrame:
         {n: F.coalesce(F.col(n), F.lit(False)) for n in ("skip", "discard", "joins_next", "detected")}
     )
     both = both.withColumn("ord", F.coalesce("ord", F.lit(-1).cast("long"))).select(*_INPUT)
-    return both.repartition("book", "_seg").sortWithinPartitions(*ordered).mapInPandas(_fold, FOLDED)
+    return both.repartition("book", "_seg").sortWithinPartitions(*ordered).mapInArrow(_fold, FOLDED)
 
 
 # ---- reading the fold --------------------------------------------------------

@@ -24,7 +24,7 @@ def normalise_answers(answers: DataFrame) -> DataFrame:
     *answers* holds (subject, year, sheet, place, raw_option, raw_label, raw_answer), ``place`` being
     the entry's position on its sheet.
     """
-    option = exam.fold_option(text.unicode_trim(F.col("raw_option")).try_cast("long")).cast("int")
+    option = exam.fold_option(text.whole_number(text.unicode_trim(F.col("raw_option")))).cast("int")
     key = text.question_key(F.col("raw_label"))
     fault = F.when(option.isNull(), "invalid option").when(key.isNull(), "invalid question label")
     return answers.select(

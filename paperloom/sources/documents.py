@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.functions import geometry, paths
-from paperloom.functions.text import unicode_trim
+from paperloom.functions.text import unicode_trim, whole_number
 
 
 def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -53,7 +53,7 @@ def topic_rows(documents: DataFrame, document: str = "document") -> DataFrame:
     topics = documents.select(*keep, F.explode(F.from_json(document, schemas.TOPIC_MAP)).alias("topic", "years"))
     years = topics.select(*keep, "topic", F.explode("years").alias("year", "types"))
     types = years.select(*keep, "topic", "year", F.explode("types").alias("exam_type", "keys"))
-    return types.select(*keep, "topic", F.col("year").try_cast("int").alias("year"), "exam_type", F.explode("keys").alias("raw_key"))
+    return types.select(*keep, "topic", whole_number(F.col("year"), "int").alias("year"), "exam_type", F.explode("keys").alias("raw_key"))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
