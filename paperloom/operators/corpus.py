@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import exam, paths, text
+from paperloom.operators import rename
 from paperloom.plans.ordered import running
 from paperloom.plans.session import cut_lineage
 
+# Sent to the workers with the job, so a cluster needs no copy of the package.
+cloudpickle.register_pickle_by_value(rename)
+
 
 def number_pages(pages: DataFrame) -> DataFrame:
     """Canonical 1..n numbering of each directory in natural order, with the name that goes with it."""
@@ -22,52 +27,38 @@ def number_pages(pages: DataFrame) -> DataFrame:
 def plan_renames(numbered: DataFrame, processed: DataFrame) -> DataFrame:
     """Which pages are renamed, unchanged, or blocked because a name is taken.
 
-    Pages move in number order, so a name is free again once the page holding it has moved. A page is
-    blocked when its target belongs to a later page, or its twin's target is a processed page that has
-    not moved: one whose own page comes later, was blocked, or does not exist. Numbered pages already
-    stand in number order, so a page can only be blocked by an earlier one through a twin, and that is
-    followed round by round until nothing changes.
+    Pages move in number order and take their processed twin along, so a name frees up once the page
+    holding it has moved. A page is blocked while its target, or its twin's target, is taken. Most pages
+    meet nobody: their target is no page's and no twin's name, and nothing can come to stand in their
+    way. Only the rest depend on what moved before them and are walked in order.
 
     *processed* holds the twins' keys (``directory``, ``stem``), directories spelled as in *numbered*.
     """
-    page = numbered.withColumn("stem", paths.stem(F.col("object_key"))).withColumn(
+    stem = paths.stem(F.col("object_key"))
+    page = numbered.select("directory", "number", "object_key", "target", stem.alias("stem")).withColumn(
         "target_stem", F.format_string("%03d", F.col("number"))
     )
-    changed = F.col("object_key") != F.col("target")
-    occupants = page.select(F.col("object_key").alias("target"), F.col("number").alias("_held_by"))
+    yes = F.lit(True)
     twins = processed.select("directory", "stem").distinct()
-    holders = page.select("directory", F.col("stem").alias("target_stem"), F.col("number").alias("_holder"))
-    # First page (in order) that would take a given twin along, per twin name.
-    movers = holders.groupBy("directory", "target_stem").agg(F.min("_holder").alias("_mover"))
+    stems = page.groupBy("directory", "stem").agg(F.count(F.lit(1)).alias("_pages"))
+    sizes = page.groupBy("directory").agg(F.max("number").alias("_top"))
     facts = (
-        page.join(occupants, "target", "left")
-        .join(twins.withColumn("_has_twin", F.lit(True)), ["directory", "stem"], "left")
-        .join(
-            twins.select("directory", F.col("stem").alias("target_stem"), F.lit(True).alias("_twin_target")),
-            ["directory", "target_stem"],
-            "left",
-        )
-        .join(movers, ["directory", "target_stem"], "left")
+        page.join(page.select(F.col("object_key").alias("target"), F.col("number").alias("held_by")), "target", "left")
+        .join(twins.withColumn("has_twin", yes), ["directory", "stem"], "left")
+        .join(twins.select("directory", F.col("stem").alias("target_stem"), yes.alias("twin_target")), ["directory", "target_stem"], "left")
+        .join(stems, ["directory", "stem"])
+        .join(stems.select("directory", F.col("stem").alias("target_stem"), yes.alias("_met")), ["directory", "target_stem"], "left")
+        .join(sizes, "directory")
+        .withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in ("has_twin", "twin_target", "_met")})
     )
-    raw_taken = F.col("_held_by") > F.col("number")
-    twin_risk = F.col("_has_twin").isNotNull() & F.col("_twin_target").isNotNull()
-    twin_taken = twin_risk & (F.col("_mover").isNull() | (F.col("_mover") > F.col("number")))
-    blocked = changed & F.coalesce(raw_taken | twin_taken, F.lit(False))
-    state = facts.select(
-        "directory", "number", "object_key", "target", "_mover",
-        (changed & twin_risk).alias("_follows"), changed.alias("_changed"), blocked.alias("_blocked"),
-    )
-    state = cut_lineage(state)
-    while True:
-        stuck = state.filter("_blocked").select("directory", F.col("number").alias("_mover"), F.lit(True).alias("_stuck"))
-        grown = state.join(stuck, ["directory", "_mover"], "left").withColumn(
-            "_next", F.col("_blocked") | F.coalesce(F.col("_follows") & F.col("_stuck"), F.lit(False))
-        )
-        if grown.filter("_next AND NOT _blocked").isEmpty():
-            break
-        state = cut_lineage(grown.withColumn("_blocked", F.col("_next")).drop("_next", "_stuck"))
-    outcome = F.when(~F.col("_changed"), "unchanged").when(F.col("_blocked"), "taken").otherwise("renamed")
-    return state.select("directory", "number", "object_key", "target", outcome.alias("outcome"))
+    # Another page's number: that page may bring its twin to this page's name.
+    own = text.whole_number(F.col("stem"))
+    awaited = F.coalesce((F.length("stem") >= 3) & own.between(1, F.col("_top")), F.lit(False))
+    entangled = F.col("twin_target") | F.col("_met") | (F.col("_pages") > 1) | awaited
+    marked = cut_lineage(facts.select(*rename.COLUMNS, entangled.alias("_entangled")))
+    free = marked.filter(~F.col("_entangled")).select("directory", "number", "object_key", "target", F.lit("renamed").alias("outcome"))
+    walked = marked.filter("_entangled").select(*rename.COLUMNS).repartition("directory").sortWithinPartitions("directory", "number")
+    return free.unionByName(walked.mapInArrow(rename.rename_in_order, rename.PLANNED))
 
 
 def pending_scans(raw: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:

@@ -258,3 +258,37 @@ def test_replay(spark):
 def test_preview_says_what_it_left_out(spark):
     shown, more = labelling.preview(spark.range(12).withColumnRenamed("id", "task_id"), ["task_id"], labelling.OTHERS_SHOWN)
     assert (shown.count(), more) == (10, 2)
+
+
+def test_renames_at_random(spark):
+    """Many small directories at once, names drawn so that targets collide often."""
+    import random
+    import re
+
+    rng = random.Random(3)
+
+    def key(name):
+        return [int(c) if c.isdigit() else c.lower() for c in re.split(r"(\d+)", name.rsplit(".", 1)[0])]
+
+    pages, twins, expected = [], [], {}
+    for d in range(150):
+        stems = [f"{n:03d}" for n in range(9)] + ["1", "2", "a", "b7"]
+        found = sorted({f"{rng.choice(stems)}.{rng.choice(['jpg', 'png'])}" for _ in range(rng.randint(1, 7))})
+        held = {s for s in stems if rng.random() < 0.4}
+        pages += [(f"d{d}/{p}",) for p in found]
+        twins += [(f"d{d}", s) for s in held]
+        disk = set(found)
+        for n, page in enumerate(sorted(found, key=key), 1):
+            stem, target = page.rsplit(".", 1)[0], f"{n:03d}.{page.rsplit('.', 1)[1]}"
+            if target == page:
+                expected[f"d{d}/{page}"] = "unchanged"
+            elif target in disk or (stem in held and f"{n:03d}" in held):
+                expected[f"d{d}/{page}"] = "taken"
+            else:
+                if stem in held:
+                    held = held - {stem} | {f"{n:03d}"}
+                disk = disk - {page} | {target}
+                expected[f"d{d}/{page}"] = "renamed"
+    numbered = corpus.number_pages(spark.createDataFrame(pages, "object_key string"))
+    plan = corpus.plan_renames(numbered, spark.createDataFrame(twins, "directory string, stem string"))
+    assert {r.object_key: r.outcome for r in plan.collect()} == expected
