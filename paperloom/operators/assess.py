@@ -122,9 +122,13 @@ def session_outcomes(results: DataFrame, mistakes: DataFrame, identity: DataFram
     """Result, identity and mistakes of each session, a row per mistake.
 
     Long rather than nested: a session's mistakes never have to fit one row. A session without
-    mistakes keeps one row with empty mistake columns.
+    mistakes keeps one row with empty mistake columns; its counts already say that it has none, so the
+    mistakes are the streamed side of an inner join, which splits a session holding too many of them.
     """
-    return results.join(identity.drop("exam_type"), "session_id").join(mistakes, "session_id", "left")
+    known = results.join(identity.drop("exam_type"), "session_id")
+    with_mistakes = mistakes.join(known, "session_id")
+    clean = known.filter(F.col("max_score") == F.col("total_correct"))
+    return with_mistakes.unionByName(clean, allowMissingColumns=True)
 
 
 def playlist(questions: DataFrame) -> DataFrame:

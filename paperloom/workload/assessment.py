@@ -187,15 +187,25 @@ def cached_file_ids(spark, folder):
 
 
 def subject_menu(spark, folder):
-    return assess.subject_menu(Tables(spark, folder).subjects)
+    """Every document source as a subject."""
+    source = F.col("source")
+    subjects = Tables(spark, folder).read("documents").select(exam.seeded_number("subject", source).alias("subject_id"), source.alias("name"))
+    return assess.subject_menu(subjects.distinct())
 
 
 def year_menu(spark, folder):
-    return assess.year_menu(Tables(spark, folder).books)
+    year = (F.col("doc_id") % 60 + 1970).alias("year_value")
+    books = Tables(spark, folder).read("documents").select(exam.seeded_number("subject", F.col("source")).alias("subject_id"), year)
+    return assess.year_menu(books.distinct())
 
 
 def option_menu(spark, folder):
-    return assess.option_menu(Tables(spark, folder).options)
+    """The CE options of a book per hundred parts."""
+    book, number = F.floor(F.col("p_partkey") / 100), (F.col("p_partkey") % 10 + 1).cast("int")
+    options = Tables(spark, folder).read("part").select(
+        book.alias("book_id"), number.alias("option_number"), exam.exam_type(book % 5 + 2021, number).alias("exam_type")
+    )
+    return assess.option_menu(options.distinct(), "CE")
 
 
 QUERIES = {
@@ -395,7 +405,10 @@ SQL = {
                                       THEN l.file_id END AS telegram_file_id
            FROM images i LEFT JOIN latest l USING (question_id)""",
     ),
-    "subject_menu": "SELECT r_regionkey::BIGINT AS subject_id, r_name AS name FROM region ORDER BY 2",
-    "year_menu": with_views("books", "SELECT * FROM books ORDER BY subject_id, year_value DESC"),
-    "option_menu": with_views("options", "SELECT * FROM options ORDER BY book_id, option_number"),
+    "subject_menu": """SELECT DISTINCT ('0x' || substr(md5('subject|' || source), 1, 8))::BIGINT AS subject_id, source AS name
+        FROM documents ORDER BY name""",
+    "year_menu": """SELECT DISTINCT ('0x' || substr(md5('subject|' || source), 1, 8))::BIGINT AS subject_id, doc_id % 60 + 1970 AS year_value
+        FROM documents ORDER BY 1, 2 DESC""",
+    "option_menu": """SELECT DISTINCT p_partkey // 100 AS book_id, p_partkey % 10 + 1 AS option_number, 'CE' AS exam_type FROM part
+        WHERE (p_partkey // 100) % 5 + 2021 >= 2023 AND p_partkey % 10 + 1 <= 5 ORDER BY 1, 2""",
 }

@@ -74,3 +74,14 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     from paperloom.plans.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_large_samples_are_ranked(spark, monkeypatch):
+    from paperloom.operators import draws
+
+    pages = spark.range(500).withColumnRenamed("id", "page")
+    small = draws.sample_rows(pages, "page", 60, "s").collect()
+    monkeypatch.setattr(draws, "TOP_K_ROWS", 10)
+    large = draws.sample_rows(pages, "page", 60, "s").collect()
+    assert len(small) == 60 and sorted(small) == sorted(large)
+    assert draws.sample_rows(pages, "page", 9999, "s").count() == 500
