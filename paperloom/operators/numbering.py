@@ -301,22 +301,20 @@ def carry_fates(outcomes: DataFrame) -> DataFrame:
     """What became of the pieces each page held: joined, lost or still unfinished at the book's end.
 
     The deciding page is the first later one that placed a question or was refused with the carry in
-    hand, found by walking the pages backwards.
+    hand: a page with *k* deciding pages up to and with it waits for the book's next, the *k + 1*-th.
     """
     decides = (
         F.when(F.col("cause") == DISCARDED, "lost")
         .when((F.col("outcome") == "read") & (F.col("questions") > 0), "joined")
         .when((F.col("outcome") == "failed") & (F.col("cause") != NO_DETECTIONS), "lost")
     )
-    # Ascending order over a running count of pages turned round.
-    total = outcomes.groupBy("book").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = running(outcomes.withColumn("_decides", decides), ["book"], ["page_key", "page"], rank="_r")
-    turned = numbered.join(total, "book").withColumn("_back", F.col("_n") - F.col("_r"))
-    shifted = running(turned, ["book"], ["_back"], lags={"_next": F.struct("_decides")}).withColumn("_after", F.col("_next._decides"))
-    seen = running(shifted, ["book"], ["_back"], lasts={"fate": F.col("_after")})
-    return seen.filter(F.coalesce(F.col("held"), F.lit(0)) > 0).select(
-        "book", "page", "held", F.coalesce("fate", F.lit("unfinished")).alias("fate")
-    )
+    pages = outcomes.select("book", "page_key", "page", "held", decides.alias("_decides"))
+    count = F.col("_decides").isNotNull().cast("long")
+    counted = running(pages, ["book"], ["page_key", "page"], sums={"_k": count})
+    deciding = counted.filter("_decides IS NOT NULL").select("book", F.col("_k").alias("_next"), F.col("_decides").alias("fate"))
+    waiting = counted.filter("held > 0").select("book", "page", "held", (F.col("_k") + 1).alias("_next"))
+    joined = waiting.join(deciding, ["book", "_next"], "left")
+    return joined.select("book", "page", "held", F.coalesce("fate", F.lit("unfinished")).alias("fate"))
 
 
 def page_faults(outcomes: DataFrame) -> DataFrame:
