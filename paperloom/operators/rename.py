@@ -38,4 +38,5 @@ def rename_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if twin:
                     moved[stem], moved[target_stem] = False, True
             out.append((directory, number, key, target, outcome))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SCHEMA.types)], schema=_SCHEMA) if out else pa.RecordBatch.from_pylist([], schema=_SCHEMA)
+        columns = zip(*out) if out else ([] for _ in _SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)

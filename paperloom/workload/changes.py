@@ -1,4 +1,7 @@
-"""Upserts, deletes and replays."""
+"""Upserts, deletes and replays.
+
+These compare two states of a table; each state is a rule over the whole of it.
+"""
 
 from __future__ import annotations
 
@@ -84,16 +87,16 @@ def _stored(t: Tables):
 
 
 def delete_plan(spark, folder):
-    """Deleting every eleventh student."""
+    """Deleting every rejected student."""
     t = Tables(spark, folder)
-    return changes.delete_plan(_stored(t), "students", t.students.filter("telegram_id % 11 = 2").select("telegram_id"))
+    return changes.delete_plan(_stored(t), "students", t.students.filter("status = 'rejected'").select("telegram_id"))
 
 
 def delete_options_plan(spark, folder):
-    """Deleting the options of book 2, which no session uses, and of book 1, which sessions do use."""
+    """Deleting each option: those of book 2 go, no session having used them; the rest are blocked."""
     t = Tables(spark, folder)
     tables = {k: v for k, v in _stored(t).items() if k != "session_answers"}
-    return changes.delete_plan(tables, "options", t.options.filter("book_id IN (1, 2)").select("option_id"))
+    return changes.delete_plan(tables, "options", t.options.select("option_id"))
 
 
 def deletable_options(spark, folder):
@@ -167,7 +170,7 @@ def _added(table: str, columns: str, key: str, id_column: str) -> str:
         SELECT (SELECT max({id_column}) FROM {table}) + row_number() OVER (ORDER BY {key}), {columns} FROM fresh)"""
 
 
-_OPTION_DELETES = """roots AS (SELECT option_id AS root FROM options WHERE book_id IN (1, 2)),
+_OPTION_DELETES = """roots AS (SELECT option_id AS root FROM options),
   plan AS (SELECT root, 'options' AS "table", root::VARCHAR AS key, 'delete' AS action FROM roots
     UNION ALL SELECT option_id, 'questions', question_id::VARCHAR, 'delete' FROM questions WHERE option_id IN (SELECT root FROM roots)
     UNION ALL SELECT q.option_id, 'images', i.question_id::VARCHAR, 'delete' FROM images i JOIN questions q USING (question_id)
@@ -229,7 +232,7 @@ SQL = {
     "mapping_insert": with_views("question_topics", "SELECT * FROM question_topics"),
     "delete_plan": with_views(
         "students sessions replies",
-        """roots AS (SELECT telegram_id AS root FROM students WHERE telegram_id % 11 = 2)
+        """roots AS (SELECT telegram_id AS root FROM students WHERE status = 'rejected')
            SELECT root, 'students' AS "table", root::VARCHAR AS key, 'delete' AS action FROM roots
            UNION ALL SELECT telegram_id + 1, 'students', telegram_id::VARCHAR, 'set null' FROM students
              WHERE telegram_id % 10 = 1 AND telegram_id + 1 IN (SELECT root FROM roots)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import dataset, draws
 from paperloom.workload.labelling import _RINGS, polygons
-from paperloom.workload.scalars import IMAGE_SQL, PAGE_KEYS_SQL, page_keys
+from paperloom.workload.scalars import PAGE_KEYS_SQL, page_keys
 from paperloom.workload.views import Tables
 
 
