@@ -11,8 +11,11 @@ from paperloom.plans.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("paperloom-tests", master="local[8]", partitions=4)
+    session = build_session("paperloom-tests", master="local[8]", partitions=3)
     session.sparkContext.setLogLevel("ERROR")
+    # Small inputs: compiling a plan takes longer than interpreting it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import re
+
 import pytest
 from compare import connect, difference
 
@@ -13,9 +15,25 @@ def duck(small):
     return connect(small)
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def check_plan(plan: str) -> None:
+    """No product of two sides, nothing whole in one task, no row-wise or grouped Python."""
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert not re.search(r"ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas", plan)
+    # A window without a key may only run over the one row per slice that holds its totals.
+    for line in plan.splitlines():
+        if "Window " in line:
+            spec = re.search(r"windowspecdefinition\(([^()]*(?:\([^()]*\)[^()]*)*)\)", line)
+            assert "_rows" in line or not (spec and re.match(r"\s*\w*_slice#", spec.group(1))), line
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, small, duck, name):
     df = entry.queries()[name](spark, small)
+    check_plan(plan_of(df))
     sql = entry.oracle_sql().get(name)
     if sql is None:
         assert df.count() > 0
@@ -35,3 +53,9 @@ def test_entry(spark):
 def test_only_tested_queries_lack_sql():
     assert set(entry.queries()) - set(entry.oracle_sql()) == {"reviewed_books"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_filters_and_columns_reach_the_scan(spark, small):
+    plan = plan_of(entry.queries()["session_results"](spark, small))
+    lineitem = next(line for line in plan.splitlines() if "FileScan" in line and "lineitem" in line)
+    assert "l_discount" not in lineitem.split("ReadSchema")[1] and "IsNotNull(l_partkey)" in lineitem
