@@ -13,6 +13,13 @@ from paperloom.plans.ordered import top_of_group
 PART_B_LETTER = "Б"
 LISTED = 12
 
+# A year's status, first that applies.
+NOT_FOUND = "NOT FOUND"
+UNREADABLE = "IS UNREADABLE"
+MISMATCH = "MISMATCH"
+OPTIONS_DIFFER = "OPTIONS DIFFER"
+OK = "OK"
+
 
 def part_counts(images: DataFrame) -> DataFrame:
     """Images per option and part of a year, flagged when the count is not one of its part's modes.
@@ -136,11 +143,11 @@ def validate_years(years: DataFrame, documents: DataFrame, images: DataFrame) ->
         F.when(F.col("options_with_b") == 0, "none").when(F.col("options_with_b") < F.col("total_options"), "partial").otherwise("all")
     )
     status = (
-        F.when(~F.col("file_present"), "NOT FOUND")
-        .when(~F.col("file_valid"), "IS UNREADABLE")
-        .when(mismatch, "MISMATCH")
-        .when(differ, "OPTIONS DIFFER")
-        .otherwise("OK")
+        F.when(~F.col("file_present"), NOT_FOUND)
+        .when(~F.col("file_valid"), UNREADABLE)
+        .when(mismatch, MISMATCH)
+        .when(differ, OPTIONS_DIFFER)
+        .otherwise(OK)
     )
     clean = F.col("file_present") & F.col("file_valid") & ~mismatch & ~differ & (F.col("options_with_b") == F.col("total_options"))
     return counted.withColumns({"part_b_coverage": coverage, "is_clean": clean, "status": status})

@@ -12,10 +12,12 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 
+# Why a page was refused, as reports word it.
 NO_DETECTIONS = "No detections found on page"
 NO_MARKER = "Question detected before any option/part marker was read"
 GAP = "Question numbering leaves a gap"
-DISCARDED = "Carried question pieces discarded by reviewer"
+# A page read after its reviewer dropped what it was handed.
+DISCARDED = "carried pieces dropped"
 
 # Steps of a page's rows in fold order.
 STATE_STEP, FOLDER_STEP, HEADER_STEP, REGION_STEP = -1, 0, 1, 2

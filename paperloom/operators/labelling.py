@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry, paths
 
+# Why a task is left alone, as reports word it.
+NO_PATH = "no local-file URI in the task"
+COMPLETED = "also holds a completed annotation"
+LIVE_HOLDERS = "%d live tasks hold %s"
+FILE_HOLDERS = "%d tasks hold %s"
+
 # How many entries a plan's report names.
 MOVES_SHOWN = 5
 OTHERS_SHOWN = 10
@@ -42,7 +48,7 @@ def repair_plan(located: DataFrame) -> DataFrame:
     live = named.filter("on_disk").groupBy("_name").agg(F.count(F.lit(1)).alias("_live"), F.min("task_id").alias("_twin"))
     joined = named.join(live, "_name", "left")
     twins = F.coalesce(F.col("_live"), F.lit(0))
-    crowd = F.format_string("%d live tasks hold %s", twins, F.col("_name"))
+    crowd = F.format_string(LIVE_HOLDERS, twins, F.col("_name"))
     verdict = (
         F.when(F.col("path").isNull(), "left")
         .when(F.col("on_disk"), F.when(twins > 1, "left").otherwise("live"))
@@ -50,7 +56,7 @@ def repair_plan(located: DataFrame) -> DataFrame:
         .when(F.col("_held") > 0, "move")
         .otherwise("delete")
     )
-    reason = F.when(F.col("path").isNull(), "no local-file URI in the task").when(verdict == "left", crowd)
+    reason = F.when(F.col("path").isNull(), NO_PATH).when(verdict == "left", crowd)
     return joined.select(
         "task_id",
         verdict.alias("verdict"),
@@ -72,9 +78,9 @@ def skipped_plan(located: DataFrame) -> DataFrame:
     joined = cancelled.withColumn("_folded", folded).join(holders, "_folded", "left")
     completed = F.exists("annotations", lambda a: ~F.coalesce(a["was_cancelled"], F.lit(False)))
     reason = (
-        F.when(completed, "also holds a completed annotation")
-        .when(F.col("path").isNull(), "no local-file URI in the task")
-        .when(F.col("_holders") > 1, F.format_string("%d tasks hold %s", F.col("_holders"), paths.basename(F.col("path"))))
+        F.when(completed, COMPLETED)
+        .when(F.col("path").isNull(), NO_PATH)
+        .when(F.col("_holders") > 1, F.format_string(FILE_HOLDERS, F.col("_holders"), paths.basename(F.col("path"))))
     )
     kept = reason.isNotNull()
     return joined.select(
