@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sharding", "mixing", "bpe")
+MODULES = ("embeddings", "simhash", "pii", "sharding", "mixing", "compression", "bpe", "langid", "lines", "urls")
 
 
 def _gather(attribute: str) -> dict:

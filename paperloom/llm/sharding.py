@@ -46,16 +46,19 @@ def edit_map(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
         .withColumn("share", share)
         .withColumn("stays", (F.sum("bytes").over(largest) <= F.col("share")) & (F.col("shard") < shards))
     )
-    loads = held.where("stays").groupBy("shard").agg(F.sum("bytes").alias("load"))
-    loads = (
-        current.sparkSession.range(shards)
-        .select(F.col("id").cast("int").alias("shard"))
-        .join(loads, "shard", "left")
-        .agg(F.sort_array(F.collect_list(F.struct("shard", F.coalesce("load", F.lit(0)).cast("long").alias("load")))).alias("l"))
-        .select(F.lit(1).alias("one"), F.transform("l", lambda x: x["load"]).alias("loads"))
+    empty = current.sparkSession.range(shards).select(
+        F.col("id").cast("int").alias("shard"), F.lit(True).alias("stays"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("int").alias("vslot")
     )
-    moved = held.where("not stays").agg(
-        F.lit(1).alias("one"), F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "vslot"))).alias("moved")
+    slot = F.struct((-F.col("bytes")).alias("minus"), "vslot")
+    by_shard = (
+        held.select("shard", "stays", "bytes", "vslot")
+        .unionByName(empty)
+        .groupBy("shard")
+        .agg(F.sum(F.when(F.col("stays"), F.col("bytes")).otherwise(0)).alias("load"), F.collect_list(F.when(~F.col("stays"), slot)).alias("moved"))
+    )
+    state = by_shard.agg(
+        F.sort_array(F.collect_list(F.when(F.col("shard") < shards, F.struct("shard", "load")))).alias("loads"),
+        F.sort_array(F.flatten(F.collect_list("moved"))).alias("moved"),
     )
 
     def place(state, slot):
@@ -65,10 +68,9 @@ def edit_map(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
             F.concat(state["placed"], F.array(least.cast("int"))).alias("placed"),
         )
 
-    start = F.struct(F.col("loads"), F.lit([]).cast("array<int>").alias("placed"))
+    start = F.struct(F.transform("loads", lambda x: x["load"]).alias("loads"), F.lit([]).cast("array<int>").alias("placed"))
     placed = (
-        loads.join(moved, "one")  # one row each
-        .select("moved", F.aggregate("moved", start, place)["placed"].alias("placed"))
+        state.select("moved", F.aggregate("moved", start, place)["placed"].alias("placed"))
         .select(F.explode(F.arrays_zip("moved", "placed")).alias("x"))
         .select(F.col("x.moved.vslot").alias("vslot"), F.col("x.placed").alias("placed"))
     )
