@@ -24,8 +24,8 @@ WINDOWS = 4096
 #: The bound of the training sample: documents of each language, and characters of each, from a place that its hash names.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 2000
 #: Training: steps, windows a step, bytes of a window that are labelled.
-STEPS, BATCH, TRAIN_CORE = 400, 128, 32
-#: Documents scored lower are rejected by keep_known: half of what an even guess between two languages gets.
+STEPS, BATCH, TRAIN_CORE = 200, 128, 32
+#: Documents scored lower are rejected by keep_known: no language stands out at all.
 MIN_SCORE = 0.25
 UNDETERMINED = "und"
 
