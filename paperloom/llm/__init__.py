@@ -19,7 +19,8 @@ def _gather(attribute: str) -> dict:
 
 
 def all_queries() -> dict:
-    return _gather("QUERIES")
+    """Every operator's query, and the pipeline that joins five of them."""
+    return _gather("QUERIES") | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def all_sql() -> dict:

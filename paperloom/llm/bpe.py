@@ -244,29 +244,33 @@ def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_
     return thin.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
-def token_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row: encoded, then decoded from the ids alone.
+def token_digest(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row, and ids array<int> if asked for: encoded, then decoded from the ids alone.
 
     A null text counts as empty. Rows keep their number, repeated ones too; other columns are not read.
     """
     shared = _shared(docs.sparkSession, ranks_path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         encode = encoder(vocabulary, pattern)
         for batch in slices(batches, "text"):
-            counts, first, second = [], [], []
+            counts, first, second, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
                 ids = encode(text or "")
                 counts.append(len(ids) // 4)
                 first.append(hashlib.sha256(ids).hexdigest())
                 second.append(hashlib.sha256(decode(vocabulary, ids)).hexdigest())
+                kept.append(np.frombuffer(ids, "<i4") if with_ids else None)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns += [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     thin = docs.select("doc_id", "text")
     kind = thin.schema["doc_id"].dataType.simpleString()
-    return thin.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return thin.mapInArrow(run, schema)
 
 
 def op7(spark, sf_dir):

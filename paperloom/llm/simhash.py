@@ -48,16 +48,16 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) per row, over whole texts; a long text is taken in stretches."""
+    """(id, tkey, fp long) per row, over whole texts; a long text is taken in stretches. tkey is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             prints = [fingerprint(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tkey"), pa.array(prints, pa.int64())], ["id", "tkey", "fp"])
 
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    thin = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).cast("binary").alias("text"))
     kind = thin.schema["id"].dataType.simpleString()
-    return thin.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return thin.mapInArrow(run, f"id {kind}, tkey long, fp long")
 
 
 def references(count: int = REFERENCES) -> list[int]:
@@ -103,33 +103,35 @@ def link_fingerprints(prints: DataFrame, count: int = REFERENCES) -> DataFrame:
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b").distinct()
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tkey, fp, root, component_id) per row; root is the smallest fingerprint of the group."""
+    prints = settle(fingerprints(docs, id_col, text_col))
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    groups = components(link_fingerprints(distinct)).withColumnRenamed("node", "fp")
+    rooted = settle(distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("id", "tkey", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) per row: the smallest id reachable through links, the row's own included.
 
     Rows with equal fingerprints, repeated rows among them, are one node of the graph. Null texts and texts without words have
     fingerprint 0. Null ids take part but never name a component that holds another id; other columns are not read.
     """
-    prints = settle(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    groups = components(link_fingerprints(distinct)).withColumnRenamed("node", "fp")
-    rooted = settle(distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: the one whose id names the group, and of rows that share that id one. Columns as given."""
-    chosen = (
-        near_duplicates(docs, id_col, text_col)
-        .where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.min("fp").alias("_fp"), F.count("*").alias("_n"))
-    )
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")))
+    naming = grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    counted = naming.groupBy("root", "id", "tkey").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct("tkey", "id", "n")).alias("_x"))
+    chosen = chosen.select("_root", F.col("_x.id").alias("_id"), F.col("_x.tkey").alias("_tkey"), F.col("_x.n").alias("_n"))
+    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tkey")))
     single = kept.where("_n = 1").select(*docs.columns)
-    row = F.struct(*docs.columns)
-    first = kept.where("_n > 1").groupBy(F.col("_id")).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
-    return single.unionByName(first.select("_row.*"))
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    return single.unionByName(kept.where("_n > 1").groupBy("_root").agg(first).select("_row.*"))
 
 
 def op2(spark, sf_dir):
