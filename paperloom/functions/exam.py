@@ -30,8 +30,19 @@ SUBJECT_NAMES = {
 
 # Month names as a date is written out.
 MONTHS = (
-    "января февраля марта апреля мая июня июля августа сентября октября ноября декабря"
-).split()
+    "января",
+    "февраля",
+    "марта",
+    "апреля",
+    "мая",
+    "июня",
+    "июля",
+    "августа",
+    "сентября",
+    "октября",
+    "ноября",
+    "декабря",
+)
 
 
 def fold_option(raw: Column) -> Column:
@@ -120,5 +131,5 @@ def seeded_hash(seed: Column | str, *ids: Column) -> Column:
 
 
 def seeded_number(seed: Column | str, *ids: Column) -> Column:
-    """The first eight hex digits of :func:`seeded_hash` as a long."""
-    return F.conv(F.substring(seeded_hash(seed, *ids), 1, 8), 16, 10).cast("long")
+    """The first fifteen hex digits of :func:`seeded_hash` as a long: as many as one holds, so that ids made of it stay apart."""
+    return F.conv(F.substring(seeded_hash(seed, *ids), 1, 15), 16, 10).cast("long")

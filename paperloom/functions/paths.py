@@ -59,7 +59,7 @@ def sheet_year_number(sheet_stem: Column) -> Column:
 
 def question_number(path: Column) -> Column:
     """The number an image file is named by, null for any other name."""
-    return F.when(is_image(path), whole_number(F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+$", 1), "int"))
+    return F.when(is_image(path), whole_number(F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+$", 1)))
 
 
 def question_path(year_dir: Column, option: Column, part: Column, number: Column, fmt: Column) -> Column:

@@ -21,8 +21,8 @@ ANSWER_CYRILLIC = "АВСЕНКМОРТХУГ"
 PART_WORD = "ЧАСТЬ"
 UNKNOWN_ANSWER = "неизвестен"
 
-# Runs of digits are padded to this many places so that text order is numeric order.
-NATURAL_WIDTH = 40
+# Places for the length of a run of digits, which goes ahead of it so that text order is numeric order.
+LENGTH_PLACES = 10
 
 
 def unicode_trim(c: Column) -> Column:
@@ -43,25 +43,34 @@ def natural_sort_key(stem: Column) -> Column:
     """A string whose plain order compares digit runs as numbers and the rest lower-cased.
 
     Runs are set apart by U+0001, which sorts below any letter, so ``p_2`` < ``p_10`` and a stem sorts
-    ahead of its own extensions. (Padding by a second pattern backtracks; this is five times faster.)
+    ahead of its own extensions. A run counts as its length and digits, without leading zeros, so it may be of any length.
     """
     runs = F.regexp_extract_all(F.lower(stem), F.lit(r"(\d+|\D+)"))
-    padded = F.transform(
-        runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lit("\u0001"), F.lpad(r, NATURAL_WIDTH, "0"))).otherwise(r)
+    placed = F.transform(
+        runs,
+        lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lit("\u0001"), _digit_count(r), _significant(r))).otherwise(r),
     )
-    return F.array_join(padded, "\u0001")
+    return F.array_join(placed, "\u0001")
+
+
+def _significant(digits: Column) -> Column:
+    return F.ltrim(digits, F.lit("0"))
+
+
+def _digit_count(digits: Column) -> Column:
+    return F.lpad(F.length(_significant(digits)).cast("string"), LENGTH_PLACES, "0")
 
 
 def natural_order(name: Column) -> list[Column]:
-    """Columns ordering all-digit names numerically and every other name after them."""
-    digits = name.rlike(r"^\d+$")
-    return [F.when(digits, name.try_cast("decimal(38,0)")).otherwise(F.lit(2**31)), F.when(~digits, name)]
+    """Columns ordering all-digit names numerically, of any length, and every other name at the place of 2**31."""
+    number = F.when(name.rlike(r"^\d+\z"), name).otherwise(F.lit(str(2**31)))
+    return [_digit_count(number), _significant(number), F.when(~name.rlike(r"^\d+\z"), name)]
 
 
 def question_key(raw: Column) -> Column:
     """``struct(part, number)`` of a typed key such as `` а12 ``, null when it is no key."""
     folded = F.translate(F.upper(unicode_trim(raw)), PART_LETTERS_CYRILLIC, PART_LETTERS_LATIN)
-    number = whole_number(F.regexp_extract(folded, r"^[AB](\d+)$", 1), "int")
+    number = whole_number(F.regexp_extract(folded, r"^[AB](\d+)$", 1))
     return F.when(number.isNotNull(), F.struct(F.substring(folded, 1, 1).alias("part"), number.alias("number")))
 
 

@@ -12,12 +12,29 @@ from paperloom import schemas
 from paperloom.plans.ordered import running
 
 
+# Where offers carry this column they are applied in its order.
+OFFER = "offer"
+
+
+def last_offers(new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """One row per key: the values of the last offer made for it.
+
+    Offers stand in the order of the column ``offer``; where there is none, or on a tie, the greatest values count,
+    so the outcome never depends on how the rows are partitioned.
+    """
+    row = F.struct(*values) if values else F.struct(F.lit(1))
+    place = F.struct(OFFER, row) if OFFER in new.columns else row
+    last = new.groupBy(*key).agg(F.max_by(row, place).alias("_last"))
+    return last.select(*key, *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
 def add_by_key(existing: DataFrame, new: DataFrame, key: list[str], id_column: str) -> DataFrame:
     """*existing* with the rows of *new* whose natural key it lacks; ids go on from the highest.
 
-    New ids follow key order, so the same input gives the same ids however it is partitioned.
+    New ids follow key order, so the same input gives the same ids however it is partitioned. Of several offers for a
+    key the last counts.
     """
-    fresh = new.select(*[c for c in existing.columns if c != id_column]).dropDuplicates(key)
+    fresh = last_offers(new, key, [c for c in existing.columns if c not in (id_column, *key)])
     fresh = fresh.join(existing.select(*key), key, "left_anti")
     top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("m")).first()["m"]
     ranked = running(fresh, [], key, rank="_rank").withColumn(id_column, F.col("_rank") + F.lit(top))
@@ -44,7 +61,7 @@ def duplicate_books(existing: DataFrame, books: DataFrame) -> DataFrame:
 def _overwrite(existing: DataFrame, new: DataFrame, key: list[str], id_column: str, value: str) -> DataFrame:
     """Upsert where a new row's value replaces the old one, null included."""
     grown = add_by_key(existing, new, key, id_column)
-    latest = new.select(*key, F.col(value).alias("_value"), F.lit(True).alias("_new")).dropDuplicates(key)
+    latest = last_offers(new, key, [value]).select(*key, F.col(value).alias("_value"), F.lit(True).alias("_new"))
     joined = grown.join(latest, key, "left")
     chosen = F.when(F.col("_new").isNotNull(), F.col("_value")).otherwise(F.col(value))
     return joined.withColumn(value, chosen).select(*existing.columns)
@@ -65,9 +82,9 @@ def upsert_images(existing: DataFrame, images: DataFrame) -> DataFrame:
 
     ``changed`` marks rows written, so untouched partitions need not be.
     """
-    new = images.select(
+    new = last_offers(images, ["question_id"], ["object_key", "content_hash"]).select(
         "question_id", F.col("object_key").alias("_key"), F.col("content_hash").alias("_hash"), F.lit(True).alias("_new")
-    ).dropDuplicates(["question_id"])
+    )
     both = existing.withColumn("_old", F.lit(True)).join(new, "question_id", "full_outer")
     differs = ~F.col("object_key").eqNullSafe(F.col("_key")) | ~F.col("content_hash").eqNullSafe(F.col("_hash"))
     changed = F.col("_new").isNotNull() & (F.col("_old").isNull() | differs)
@@ -93,20 +110,22 @@ def load_year(
 ) -> dict[str, DataFrame]:
     """One year's load: books, options, questions and images as they stand afterwards.
 
-    *images* holds (option, exam_type, part, number, answer, object_key, content_hash) of that year.
+    *images* holds (option, exam_type, part, number, answer, object_key, content_hash) of that year, and ``offer`` where one
+    question comes several times: the last counts.
     """
     spark = images.sparkSession
     book = spark.createDataFrame([(subject, year)], "subject_id long, year_value int")
     books = create_books(tables["books"], book)
     where = books.filter((F.col("subject_id") == subject) & (F.col("year_value") == year)).select("book_id")
     book_id = where.first()["book_id"]
-    wanted = images.select(F.lit(book_id).cast("long").alias("book_id"), F.col("option").alias("option_number"), "exam_type").distinct()
+    order = [OFFER] if OFFER in images.columns else []
+    wanted = images.select(F.lit(book_id).cast("long").alias("book_id"), F.col("option").alias("option_number"), "exam_type", *order)
     options = upsert_options(tables["options"], wanted)
     ids = options.filter(F.col("book_id") == book_id).select("option_id", F.col("option_number").alias("option"))
     rows = images.join(ids, "option").withColumnRenamed("number", "question_number")
-    questions = upsert_questions(tables["questions"], rows.select("option_id", "part", "question_number", "answer"))
+    questions = upsert_questions(tables["questions"], rows.select("option_id", "part", "question_number", "answer", *order))
     keyed = rows.join(questions.select("question_id", "option_id", "part", "question_number"), ["option_id", "part", "question_number"])
-    stored = upsert_images(tables["images"], keyed.select("question_id", "object_key", "content_hash"))
+    stored = upsert_images(tables["images"], keyed.select("question_id", "object_key", "content_hash", *order))
     return {**tables, "books": books, "options": options, "questions": questions, "images": stored.drop("changed")}
 
 

@@ -129,7 +129,7 @@ def reconcile_tree(rows: DataFrame, manifest: DataFrame, digests: DataFrame) ->
     stray = sides.filter("_row IS NULL").select("object_key", F.lit("orphaned").alias("status"))
     matched = sides.filter("_row AND _file").select("object_key", "content_hash")
     hashed = matched.join(digests.select("object_key", F.col("content_hash").alias("_now")), "object_key")
-    stale = hashed.filter("content_hash <> _now").select("object_key", F.lit("stale").alias("status"))
+    stale = hashed.filter("NOT content_hash <=> _now").select("object_key", F.lit("stale").alias("status"))
     return gone.unionByName(stray).unionByName(stale)
 
 

@@ -50,16 +50,11 @@ def choose_for_round(wishes: DataFrame, by_topic: DataFrame, by_part: DataFrame)
     return joined.select(*[F.col(f"w.{c}") for c in wishes.columns], chosen.alias("question_id"))
 
 
-# A sample up to this size is a top-k; a larger one is ranked where it lies.
-TOP_K_ROWS = 100_000
-
-
 def sample_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """min(n, size) rows without replacement: the first *n* in seeded order."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(seeded_hash(seed, F.col(key)), key).limit(n)
-    hashed = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
-    return running(hashed, [], ["_hash", key], rank="_rank").filter(F.col("_rank") <= n).drop("_rank", "_hash")
+    """min(n, size) rows without replacement: the first *n* in seeded order. An empty source is an error."""
+    if df.isEmpty():
+        raise ValueError("nothing to sample from")
+    return df.orderBy(seeded_hash(seed, F.col(key)), key).limit(n)
 
 
 def split_dataset(names: DataFrame, key: str, train: float, seed: str) -> DataFrame:

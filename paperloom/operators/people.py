@@ -11,8 +11,8 @@ DECISIONS = {"approve": "approved", "reject": "rejected"}
 def student_table(events: DataFrame) -> DataFrame:
     """The students table as the events leave it.
 
-    *events* holds (telegram_id, ts, seq, kind, name, admin_id), kind being contact, request, approve
-    or reject. A contact refreshes the display name only. A request sets the full name, makes the person
+    *events* holds (telegram_id, ts, seq, kind, name, username, admin_id), kind being contact, request, approve
+    or reject. A contact refreshes the display name and the user name only. A request sets the full name, makes the person
     pending again and clears the decision; ``created_at`` stays. A decision counts only for somebody who
     applied, so the later of last request and last decision says the status. Every column is a minimum
     or a maximum: the work combines before the shuffle, and the same function serves a stream.
@@ -24,6 +24,7 @@ def student_table(events: DataFrame) -> DataFrame:
     folded = events.groupBy("telegram_id").agg(
         F.min(F.when(is_known, F.col("ts"))).alias("created_at"),
         F.max(F.when(is_known, F.struct("ts", "seq", "name"))).getField("name").alias("telegram_name"),
+        F.max(F.when(is_known, F.struct("ts", "seq", "username"))).getField("username").alias("telegram_username"),
         F.max(F.when(is_request, F.struct("ts", "seq", "name"))).getField("name").alias("full_name"),
         F.max(F.when(decides, F.struct(place.alias("at"), "kind", "ts", "admin_id"))).alias("_last"),
         F.max(is_request).alias("_applied"),
@@ -31,7 +32,7 @@ def student_table(events: DataFrame) -> DataFrame:
     decided = F.col("_applied") & (F.col("_last.kind") != "request")
     status = F.when(decided & (F.col("_last.kind") == "approve"), "approved").when(decided, "rejected").otherwise("pending")
     return folded.filter("created_at IS NOT NULL").select(
-        "telegram_id", "telegram_name", "full_name", status.alias("status"), "created_at",
+        "telegram_id", "telegram_name", "telegram_username", "full_name", status.alias("status"), "created_at",
         F.when(decided, F.col("_last.ts")).alias("handled_at"), F.when(decided, F.col("_last.admin_id")).alias("handled_by"),
     )
 

@@ -26,14 +26,16 @@ def build_session(app: str = "paperloom", master: str | None = None, partitions:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder lineage cuts go to.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset
-    (a laptop, the tests) is a temporary folder made.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. A temporary folder is made only where that is unset and the
+    master is local (a laptop, the tests); on a cluster other machines could not read it, so that is an error.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that every machine of the cluster shares")
     folder = named or tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(folder)
     return folder

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import exam, paths
+from paperloom.functions.text import whole_number
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -57,8 +58,12 @@ def question_images(manifest: DataFrame) -> DataFrame:
 
 
 def seedable_images(images: DataFrame) -> DataFrame:
-    """The stricter rule a load follows: numeric year and option, part exactly A or B."""
-    numeric = F.col("year").rlike(r"^\d+$") & F.col("option").rlike(r"^\d+$")
-    return images.filter(numeric & F.col("part").isin(*exam.PARTS)).withColumns(
-        {"year": F.col("year").cast("int"), "option": F.col("option").cast("int")}
+    """The stricter rule a load follows: numeric year and option, part exactly A or B.
+
+    A folder whose number no year or option column can hold is a stray like any other name.
+    """
+    digits = F.col("year").rlike(r"^\d+$") & F.col("option").rlike(r"^\d+$")
+    numbered = images.filter(digits & F.col("part").isin(*exam.PARTS)).withColumns(
+        {name: whole_number(F.col(name), "int") for name in ("year", "option")}
     )
+    return numbered.filter("year IS NOT NULL AND option IS NOT NULL")

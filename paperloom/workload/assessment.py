@@ -247,7 +247,7 @@ _FIRST = """first_reply AS (
 _VERDICT = """coalesce(CASE WHEN q.part = 'A' THEN try_cast(trim(r.student_answer) AS BIGINT) = try_cast(q.answer AS BIGINT)
     ELSE list_contains(list_filter(list_transform(string_split(q.answer, '/'), lambda x: trim(x)), lambda x: x <> ''),
                        trim(r.student_answer)) END, false)"""
-_SCORED = f"""{_FIRST}, scored AS (
+SCORED_SQL = f"""{_FIRST}, scored AS (
   SELECT r.session_id, r.question_id, q.part, q.question_number, trim(r.student_answer) AS student_answer,
          q.answer AS correct_answer, {_VERDICT} AS is_correct,
          CASE WHEN q.part = 'A' AND q.answer IS NOT NULL AND try_cast(trim(r.student_answer) AS BIGINT) IS NULL
@@ -291,25 +291,25 @@ def _draw(source: str, keys: str, seed: str) -> str:
 _TOPICAL = "candidates AS (SELECT t.topic_id, t.subject_id, t.name, m.question_id FROM topics t JOIN question_topics m USING (topic_id))"
 
 SQL = {
-    "session_results": with_views("questions sessions replies options", f"{_SCORED}, {_RESULTS} SELECT * FROM results"),
+    "session_results": with_views("questions sessions replies options", f"{SCORED_SQL}, {_RESULTS} SELECT * FROM results"),
     "score_by_part": with_views(
         "questions replies",
-        f"{_SCORED} SELECT session_id, part, count(*) FILTER (is_correct) AS correct, count(*) AS total FROM scored GROUP BY 1, 2",
+        f"{SCORED_SQL} SELECT session_id, part, count(*) FILTER (is_correct) AS correct, count(*) AS total FROM scored GROUP BY 1, 2",
     ),
     "scored_answers": with_views(
         "questions replies",
-        f"""{_SCORED} SELECT session_id, question_id, student_answer, correct_answer, is_correct, reject_reason,
+        f"""{SCORED_SQL} SELECT session_id, question_id, student_answer, correct_answer, is_correct, reject_reason,
             time_spent_seconds, epoch_us(answered_at) AS answered_us FROM scored""",
     ),
     "wrong_answers": with_views(
         "questions replies",
-        f"""{_SCORED} SELECT session_id, part, question_number, student_answer, correct_answer FROM scored
+        f"""{SCORED_SQL} SELECT session_id, part, question_number, student_answer, correct_answer FROM scored
             WHERE NOT is_correct ORDER BY 1, 2, 3""",
     ),
     "session_identity": with_views("sessions options books", f"{_IDENTITY} SELECT * FROM identity"),
     "session_outcomes": with_views(
         "questions sessions replies options books",
-        f"""{_SCORED}, {_RESULTS}, {_IDENTITY}
+        f"""{SCORED_SQL}, {_RESULTS}, {_IDENTITY}
             SELECT r.*, i.student_telegram_id, i.subject, i.year_value, i.option_number,
                    m.part, m.question_number, m.student_answer, m.correct_answer
             FROM results r JOIN identity i USING (session_id)
@@ -350,7 +350,7 @@ SQL = {
               row_number() OVER (PARTITION BY subject_id, part ORDER BY question_id) AS k,
               count(*) OVER (PARTITION BY subject_id, part) AS n FROM origin)
             SELECT subject_id, part, n, k, question_id FROM ranked
-            WHERE k = 1 + ('0x' || substr(md5('kth|' || subject_id::VARCHAR || '|' || part), 1, 8))::BIGINT % n""",
+            WHERE k = 1 + ('0x' || substr(md5('kth|' || subject_id::VARCHAR || '|' || part), 1, 15))::BIGINT % n""",
     ),
     "round_choice": with_views(
         "questions options books topics question_topics students",
@@ -405,9 +405,9 @@ SQL = {
                                       THEN l.file_id END AS telegram_file_id
            FROM images i LEFT JOIN latest l USING (question_id)""",
     ),
-    "subject_menu": """SELECT DISTINCT ('0x' || substr(md5('subject|' || source), 1, 8))::BIGINT AS subject_id, source AS name
+    "subject_menu": """SELECT DISTINCT ('0x' || substr(md5('subject|' || source), 1, 15))::BIGINT AS subject_id, source AS name
         FROM documents ORDER BY name""",
-    "year_menu": """SELECT DISTINCT ('0x' || substr(md5('subject|' || source), 1, 8))::BIGINT AS subject_id, doc_id % 60 + 1970 AS year_value
+    "year_menu": """SELECT DISTINCT ('0x' || substr(md5('subject|' || source), 1, 15))::BIGINT AS subject_id, doc_id % 60 + 1970 AS year_value
         FROM documents ORDER BY 1, 2 DESC""",
     "option_menu": """SELECT DISTINCT p_partkey // 100 AS book_id, p_partkey % 10 + 1 AS option_number, 'CE' AS exam_type FROM part
         WHERE (p_partkey // 100) % 5 + 2021 >= 2023 AND p_partkey % 10 + 1 <= 5 ORDER BY 1, 2""",

@@ -38,11 +38,17 @@ def book_duplicates(spark, folder):
     return changes.duplicate_books(t.books, offered)
 
 
+def _in_turn(earlier, later):
+    """Offers in two rounds, the rows of both mixed: the later one counts."""
+    return later.withColumn("offer", F.lit(2)).unionByName(earlier.withColumn("offer", F.lit(1))).repartition(3)
+
+
 def option_upsert(spark, folder):
     t = Tables(spark, folder)
     number = (F.col("p_partkey") % 10 + 1).cast("int")
     offered = t.read("part").select((F.col("p_partkey") % 5).alias("book_id"), number.alias("option_number"), exam.exam_type(F.col("p_partkey") % 5 + 2022, number).alias("exam_type"))
-    return changes.upsert_options(t.options, offered)
+    earlier = offered.withColumn("exam_type", F.lit("CX"))
+    return changes.upsert_options(t.options, _in_turn(earlier, offered))
 
 
 def question_upsert(spark, folder):
@@ -51,7 +57,8 @@ def question_upsert(spark, folder):
     i = F.col("question_id")
     existing = t.questions.filter(i % 7 != 0)
     offered = t.questions.filter((i % 3 == 0) | (i % 7 == 0)).withColumn("answer", F.when(i % 2 == 0, F.col("answer")))
-    return changes.upsert_questions(existing, offered)
+    earlier = offered.filter(i % 5 == 0).withColumn("answer", F.lit("~"))
+    return changes.upsert_questions(existing, _in_turn(earlier, offered))
 
 
 def image_upsert(spark, folder):
@@ -61,7 +68,8 @@ def image_upsert(spark, folder):
         "question_id", F.when(i % 8 == 0, F.concat("object_key", F.lit(".webp"))).otherwise(F.col("object_key")).alias("object_key"),
         F.when(i % 6 == 0, F.reverse("content_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
     )
-    return changes.upsert_images(t.images.filter(i % 10 != 4), offered)
+    earlier = offered.filter(i % 4 == 0).withColumn("content_hash", F.lit("~"))
+    return changes.upsert_images(t.images.filter(i % 10 != 4), _in_turn(earlier, offered))
 
 
 def mapping_insert(spark, folder):
@@ -81,7 +89,7 @@ def _stored(t: Tables):
         "topics": t.topics,
         "question_topics": t.question_topics,
         "students": people,
-        "test_sessions": t.sessions.filter("option_id % 5 <> 2"),
+        "test_sessions": t.sessions,
         "session_answers": answers,
     }
 
@@ -93,10 +101,11 @@ def delete_plan(spark, folder):
 
 
 def delete_options_plan(spark, folder):
-    """Deleting each option: those of book 2 go, no session having used them; the rest are blocked."""
+    """Deleting each option: those just created go, no session having used them; the rest are blocked."""
     t = Tables(spark, folder)
-    tables = {k: v for k, v in _stored(t).items() if k != "session_answers"}
-    return changes.delete_plan(tables, "options", t.options.select("option_id"))
+    created = t.options.withColumn("option_id", F.col("option_id") + 25)
+    tables = _stored(t) | {"options": t.options.unionByName(created)}
+    return changes.delete_plan(tables, "options", tables["options"].select("option_id"))
 
 
 def deletable_options(spark, folder):
@@ -136,7 +145,7 @@ def missing_recorded(spark, folder):
 def shared_answers(spark, folder):
     """Each distinct crop answered once, the answer spread to every turn that shows it."""
     needed = _needed(spark, folder)
-    answers = replay.to_answer_once(needed).withColumn("value", F.concat(F.lit("answer to "), F.substring("digest", 1, 6)))
+    answers = replay.to_answer_once(needed).withColumn("value", F.concat(F.lit("answer to "), F.col("digest")))
     return replay.spread_answers(needed, answers)
 
 
@@ -170,15 +179,17 @@ def _added(table: str, columns: str, key: str, id_column: str) -> str:
         SELECT (SELECT max({id_column}) FROM {table}) + row_number() OVER (ORDER BY {key}), {columns} FROM fresh)"""
 
 
-_OPTION_DELETES = """roots AS (SELECT option_id AS root FROM options),
+_OPTION_DELETES = """roots AS (SELECT option_id AS root FROM options UNION ALL SELECT option_id + 25 FROM options),
   plan AS (SELECT root, 'options' AS "table", root::VARCHAR AS key, 'delete' AS action FROM roots
     UNION ALL SELECT option_id, 'questions', question_id::VARCHAR, 'delete' FROM questions WHERE option_id IN (SELECT root FROM roots)
     UNION ALL SELECT q.option_id, 'images', i.question_id::VARCHAR, 'delete' FROM images i JOIN questions q USING (question_id)
       WHERE q.option_id IN (SELECT root FROM roots)
     UNION ALL SELECT q.option_id, 'question_topics', m.question_id::VARCHAR || '|' || m.topic_id::VARCHAR, 'delete'
       FROM question_topics m JOIN questions q USING (question_id) WHERE q.option_id IN (SELECT root FROM roots)
+    UNION ALL SELECT q.option_id, 'session_answers', r.session_id::VARCHAR || '|' || r.question_id::VARCHAR, 'blocked'
+      FROM (SELECT DISTINCT session_id, question_id FROM replies) r JOIN questions q USING (question_id)
     UNION ALL SELECT option_id, 'test_sessions', session_id::VARCHAR, 'blocked' FROM sessions
-      WHERE option_id % 5 <> 2 AND option_id IN (SELECT root FROM roots))"""
+      WHERE option_id IN (SELECT root FROM roots))"""
 _CROPS = """needed AS (SELECT conv_id, turn, role AS kind, md5(text) AS digest FROM conversations),
   recorded AS (SELECT DISTINCT role AS kind, md5(text) AS digest, length(text)::VARCHAR AS value FROM conversations WHERE conv_id % 5 <> 1)"""
 
@@ -237,13 +248,13 @@ SQL = {
            UNION ALL SELECT telegram_id + 1, 'students', telegram_id::VARCHAR, 'set null' FROM students
              WHERE telegram_id % 10 = 1 AND telegram_id + 1 IN (SELECT root FROM roots)
            UNION ALL SELECT student_telegram_id, 'test_sessions', session_id::VARCHAR, 'delete' FROM sessions
-             WHERE option_id % 5 <> 2 AND student_telegram_id IN (SELECT root FROM roots)
+             WHERE student_telegram_id IN (SELECT root FROM roots)
            UNION ALL SELECT DISTINCT s.student_telegram_id, 'session_answers', r.session_id::VARCHAR || '|' || r.question_id::VARCHAR, 'delete'
-             FROM replies r JOIN sessions s USING (session_id) WHERE s.option_id % 5 <> 2 AND s.student_telegram_id IN (SELECT root FROM roots)""",
+             FROM replies r JOIN sessions s USING (session_id) WHERE s.student_telegram_id IN (SELECT root FROM roots)""",
     ),
-    "delete_options_plan": with_views("options questions images question_topics sessions", f"{_OPTION_DELETES} SELECT * FROM plan"),
+    "delete_options_plan": with_views("options questions images question_topics sessions replies", f"{_OPTION_DELETES} SELECT * FROM plan"),
     "deletable_options": with_views(
-        "options questions images question_topics sessions",
+        "options questions images question_topics sessions replies",
         f"{_OPTION_DELETES} SELECT * FROM plan WHERE root NOT IN (SELECT root FROM plan WHERE action = 'blocked')",
     ),
     "manifest_diff": """
@@ -253,5 +264,5 @@ SQL = {
         FROM a FULL JOIN b USING (path) WHERE a.d IS DISTINCT FROM b.d""",
     "recalled_answers": f"WITH {_CROPS} SELECT n.*, r.value, r.kind IS NOT NULL AS found FROM needed n LEFT JOIN recorded r USING (kind, digest)",
     "missing_recorded": f"WITH {_CROPS} SELECT DISTINCT kind, digest FROM needed WHERE (kind, digest) NOT IN (SELECT (kind, digest) FROM recorded)",
-    "shared_answers": f"WITH {_CROPS} SELECT conv_id, turn, kind, digest, 'answer to ' || substr(digest, 1, 6) AS value FROM needed",
+    "shared_answers": f"WITH {_CROPS} SELECT conv_id, turn, kind, digest, 'answer to ' || digest AS value FROM needed",
 }

@@ -13,7 +13,7 @@ ADMIN = 7
 def registration_state(spark, folder):
     table = people.student_table(Tables(spark, folder).requests)
     return table.select(
-        "telegram_id", "telegram_name", "full_name", "status", "handled_by",
+        "telegram_id", "telegram_name", "telegram_username", "full_name", "status", "handled_by",
         F.unix_micros("created_at").alias("created_us"), F.unix_micros("handled_at").alias("handled_us"),
     )
 
@@ -35,12 +35,13 @@ def authorised_people(spark, folder):
 
 QUERIES = {f.__name__: f for f in (registration_state, refused_decisions, registration_gate, authorised_people)}
 
-STATE_SQL = """known AS (SELECT telegram_id, min(ts) AS created, arg_max(name, (ts, seq)) AS telegram_name FROM requests
+STATE_SQL = """known AS (SELECT telegram_id, min(ts) AS created, arg_max(name, (ts, seq)) AS telegram_name,
+      max(struct_pack(ts := ts, seq := seq, username := username)).username AS telegram_username FROM requests
     WHERE kind IN ('contact', 'request') GROUP BY 1),
   asked AS (SELECT telegram_id, arg_max(name, (ts, seq)) AS full_name FROM requests WHERE kind = 'request' GROUP BY 1),
   last_word AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY telegram_id ORDER BY ts DESC, seq DESC) AS rn FROM requests
     WHERE kind <> 'contact') WHERE rn = 1),
-  state AS (SELECT k.telegram_id, k.telegram_name, a.full_name,
+  state AS (SELECT k.telegram_id, k.telegram_name, k.telegram_username, a.full_name,
     CASE WHEN decided AND l.kind = 'approve' THEN 'approved' WHEN decided THEN 'rejected' ELSE 'pending' END AS status,
     CASE WHEN decided THEN l.admin_id END AS handled_by, epoch_us(k.created) AS created_us, CASE WHEN decided THEN epoch_us(l.ts) END AS handled_us
     FROM known k LEFT JOIN asked a USING (telegram_id)

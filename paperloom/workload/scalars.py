@@ -95,7 +95,8 @@ def folder_order(spark, folder):
     name = F.concat((F.col("p_partkey") % 97).cast("string"), F.when(F.col("p_partkey") % 5 == 0, "a").otherwise(""))
     names = Tables(spark, folder).read("part").select(name.alias("name")).distinct()
     order = text.natural_order(F.col("name"))
-    return names.orderBy(*order).select("name", order[0].cast("long").alias("numeric_place"))
+    place = F.coalesce(text.whole_number(F.col("name")), F.lit(2**31))
+    return names.orderBy(*order).select("name", place.alias("numeric_place"))
 
 
 def page_keys(spark, folder):
@@ -159,7 +160,7 @@ SQL = {
         WITH raw AS (SELECT p_partkey, ['A', ' а', chr(160) || 'В', 'b', 'C', '', 'B-', 'A1B'][p_partkey % 8 + 1]
             || p_size::VARCHAR || ' ' || chr(9) AS r FROM part),
         folded AS (SELECT p_partkey, translate(upper(trim(r, {_SPACES})), 'АВ', 'AB') AS f FROM raw)
-        SELECT p_partkey, CASE WHEN ok THEN substr(f, 1, 1) END AS part, CASE WHEN ok THEN substr(f, 2)::INT END AS number,
+        SELECT p_partkey, CASE WHEN ok THEN substr(f, 1, 1) END AS part, CASE WHEN ok THEN substr(f, 2)::BIGINT END AS number,
           CASE WHEN ok THEN f END AS normal_form
         FROM (SELECT *, regexp_matches(f, '^[AB][0-9]+$') AS ok FROM folded)""",
     "answer_scripts": "SELECT doc_id, md5(translate(text, 'ABCEHKMOPTXYF', 'АВСЕНКМОРТХУГ')) AS folded FROM documents",
@@ -184,7 +185,7 @@ SQL = {
         SELECT doc_id, CASE WHEN fits THEN parts[mark - 2] END AS subject, CASE WHEN fits THEN parts[mark + 1] END AS year,
           CASE WHEN fits THEN parts[mark - 2] || '_' || parts[mark + 1] || '_' || regexp_replace(file, '\\.[^.]*$', '') || '.jpg' END
             AS training_name,
-          CASE WHEN {IMAGE_SQL.format('path')} THEN try_cast(nullif(regexp_extract(file, '^(\\d+)\\.', 1), '') AS INT) END AS number,
+          CASE WHEN {IMAGE_SQL.format('path')} THEN try_cast(nullif(regexp_extract(file, '^(\\d+)\\.', 1), '') AS BIGINT) END AS number,
           printf('%03d', doc_id) || '.jpg' AS page_name,
           CASE WHEN path LIKE 'books/%' THEN substr(path, 7) END AS key_in_books
         FROM w""",

@@ -187,6 +187,7 @@ class Tables:
             F.col("event_id").alias("seq"),
             kind.alias("kind"),
             name.alias("name"),
+            F.when(F.col("k") % 4 != 0, F.concat(F.lit("u"), F.col("k").cast("string"))).alias("username"),
             F.col("k").cast("long").alias("admin_id"),
         )
 
@@ -218,7 +219,7 @@ VIEW_SQL = {
         l_quantity AS time_spent_seconds, l_shipdate AS answered_at, l_linenumber AS line, l_suppkey AS supplier,
         l_extendedprice AS price FROM lineitem""",
     "topic_rows": """SELECT p_partkey AS question_id, p_partkey % 25 % 5 AS subject_id, p_type AS name,
-        ('0x' || substr(md5('topic|' || (p_partkey % 25 % 5)::VARCHAR || '|' || p_type), 1, 8))::BIGINT AS topic_id
+        ('0x' || substr(md5('topic|' || (p_partkey % 25 % 5)::VARCHAR || '|' || p_type), 1, 15))::BIGINT AS topic_id
         FROM part""",
     "topics": "SELECT DISTINCT topic_id, subject_id, name FROM topic_rows",
     "question_topics": "SELECT question_id, topic_id FROM topic_rows WHERE question_id % 3 <> 0",
@@ -238,7 +239,8 @@ VIEW_SQL = {
               FROM ev)""",
     "requests": """SELECT user_id AS telegram_id, ts, event_id AS seq,
         CASE event_type WHEN 'signup' THEN 'request' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject'
-             ELSE 'contact' END AS kind, 'n' || k::VARCHAR AS name, k::BIGINT AS admin_id FROM ev""",
+             ELSE 'contact' END AS kind, 'n' || k::VARCHAR AS name,
+        CASE WHEN k % 4 <> 0 THEN 'u' || k::VARCHAR END AS username, k::BIGINT AS admin_id FROM ev""",
 }
 
 _NEEDS = {

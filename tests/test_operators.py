@@ -54,7 +54,7 @@ def test_reply_claims(spark):
     assert {r.seq: r.s for r in spent.collect()} == {3: 2.0, 6: 1.0}
 
 
-EVENTS = "telegram_id long, ts timestamp, seq long, kind string, name string, admin_id long"
+EVENTS = "telegram_id long, ts timestamp, seq long, kind string, name string, username string, admin_id long"
 
 
 @pytest.mark.parametrize(
@@ -71,7 +71,7 @@ EVENTS = "telegram_id long, ts timestamp, seq long, kind string, name string, ad
     ],
 )
 def test_registration(spark, kinds, status, full_name, handled):
-    events = spark.createDataFrame([(5, at(i), i, k, f"n{i}", 9) for i, k in enumerate(kinds)], EVENTS)
+    events = spark.createDataFrame([(5, at(i), i, k, f"n{i}", f"u{i}", 9) for i, k in enumerate(kinds)], EVENTS)
     row = people.student_table(events).first()
     if status is None:
         assert row is None
@@ -79,6 +79,7 @@ def test_registration(spark, kinds, status, full_name, handled):
         return
     assert (row.status, row.full_name, row.handled_at is not None) == (status, full_name, handled)
     assert row.created_at == T0
+    assert row.telegram_username == f"u{max(i for i, k in enumerate(kinds) if k in ('contact', 'request'))}"
     gate = people.registration_gate(events.select("telegram_id").distinct(), people.student_table(events)).first().gate
     assert gate == ("new" if status == "rejected" else status)
 
@@ -224,6 +225,28 @@ def test_image_guard(spark):
     assert got == {1: ("h", "f", False), 2: ("new", None, True), 3: ("h3", None, True)}
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_the_last_offer_wins(spark, parts):
+    offers = [(1, 1, "A", 1, "old", 1), (1, 1, "A", 1, "new", 3), (1, 1, "A", 1, "mid", 2), (1, 1, "A", 2, "x", 1), (1, 1, "A", 2, None, 2)]
+    offered = spark.createDataFrame([(o, p, n, a, s) for _, o, p, n, a, s in offers], "option_id long, part string, question_number int, answer string, offer int")
+    stored = spark.createDataFrame([(1, 1, "A", 2, "was")], QUESTIONS)
+    got = changes.upsert_questions(stored, offered.repartition(parts)).collect()
+    assert {r.question_number: r.answer for r in got} == {1: "new", 2: None} and len(got) == 2
+    images = spark.createDataFrame([(1, "b", "2", 2), (1, "c", "3", 3), (1, "a", "1", 1)], "question_id long, object_key string, content_hash string, offer int")
+    none = spark.createDataFrame([], "question_id long, object_key string, content_hash string, telegram_file_id string")
+    assert [r.object_key for r in changes.upsert_images(none, images.repartition(parts)).collect()] == ["c"]
+    tied = images.drop("offer").repartition(parts)
+    assert [r.object_key for r in changes.upsert_images(none, tied).collect()] == ["c"]
+
+
+def test_a_null_hash_is_stale(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "h")], "object_key string, content_hash string")
+    found = spark.createDataFrame([("a", "h"), ("b", "h")], "object_key string, content_hash string")
+    manifest = found.select("object_key")
+    assert [tuple(r) for r in corpus.reconcile_tree(rows, manifest, found).collect()] == [("a", "stale")]
+    assert [tuple(r) for r in corpus.reconcile(rows, found).collect()] == [("a", "stale")]
+
+
 def test_each_rule_catches_its_row(spark):
     one = {
         "subjects": spark.createDataFrame([(1, "s")], "subject_id long, name string"),

@@ -76,12 +76,12 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
 
 
-def test_large_samples_are_ranked(spark, monkeypatch):
+def test_samples(spark):
     from paperloom.operators import draws
 
     pages = spark.range(500).withColumnRenamed("id", "page")
-    small = draws.sample_rows(pages, "page", 60, "s").collect()
-    monkeypatch.setattr(draws, "TOP_K_ROWS", 10)
-    large = draws.sample_rows(pages, "page", 60, "s").collect()
-    assert len(small) == 60 and sorted(small) == sorted(large)
+    one, other = (draws.sample_rows(p, "page", 60, "s").collect() for p in (pages, pages.repartition(7)))
+    assert len(one) == 60 and sorted(one) == sorted(other)
+    with pytest.raises(ValueError, match="nothing to sample"):
+        draws.sample_rows(pages.limit(0), "page", 60, "s")
     assert draws.sample_rows(pages, "page", 9999, "s").count() == 500

@@ -56,6 +56,17 @@ def test_scripts_and_markers(spark):
     assert values(spark, [(None,), ("x",)], "t string", text.display_answer(F.col("t"))) == ["неизвестен", "x"]
 
 
+def test_numbers_of_any_length(spark):
+    long = "7" * 45
+    names = [f"p{long}2", f"p{long}1", f"p{'0' * 60}5", "p6", f"p{long}10"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(text.natural_sort_key(F.col("n"))).collect()]
+    assert got == [f"p{'0' * 60}5", "p6", f"p{long}1", f"p{long}2", f"p{long}10"]
+    folders = spark.createDataFrame([(n,) for n in ("12", "x", long, "3", "3000000000", "0")], "n string")
+    assert [r.n for r in folders.orderBy(*text.natural_order(F.col("n"))).collect()] == ["0", "3", "12", "x", "3000000000", long]
+    assert values(spark, [("a/3000000000.png",)], "p string", paths.question_number(F.col("p"))) == [3_000_000_000]
+
+
 def test_natural_order(spark):
     names = ["page_10", "page_2", "Page_1", "7", "07b", "-1", "page", "page_2a", "123456789012345678901234567890", "99"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
