@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperloom.functions import geometry
+from paperloom.functions import exam, geometry
 from paperloom.functions.text import natural_sort_key
 from paperloom.operators import fold
 from paperloom.operators.fold import FOLDED, NO_DETECTIONS, DISCARDED, STATE, SUMMARY
@@ -222,6 +222,14 @@ def fold_rows(pages: DataFrame, regions: DataFrame, folders: DataFrame | None =
             rows = rows.withColumn(name, F.lit(0 if name == "_seg" else None).cast(kind))
     defaults = {"skip": F.lit(False), "discard": F.lit(False), "joins_next": F.lit(False), "detected": F.lit(False), "ord": F.lit(-1).cast("long")}
     rows = rows.withColumns({n: F.coalesce(F.col(n), d) for n, d in defaults.items()})
+    # A marker names one of ten options and part A or B; what else it may read is folded, or says nothing.
+    read = F.col("_step") == REGION_STEP
+    rows = rows.withColumns(
+        {
+            "reading_option": F.when(read, exam.fold_option(F.col("reading_option"))).otherwise(F.col("reading_option")).cast("int"),
+            "reading_part": F.when(~read | F.col("reading_part").isin(*exam.PARTS), F.col("reading_part")),
+        }
+    )
     return rows.select(*INPUT)
 
 
@@ -244,8 +252,7 @@ def _number_in_segments(rows: DataFrame) -> DataFrame:
     # Cut on page boundaries, and again where a reviewer moved the numbering.
     cut = sliced(rows, ["book"], ["page_key", "page"])
     moves = (F.col("_step") == HEADER_STEP) & F.col("entry_option").isNotNull() & F.col("detected") & ~F.col("skip")
-    facts = rows.agg(F.max("reading_option").alias("top"), F.bool_or(moves).alias("moved")).first()
-    top, ahead = max(facts["top"] or 0, 10), bool(facts["moved"])
+    top, ahead = exam.OPTIONS_PER_BOOK, bool(rows.agg(F.bool_or(moves).alias("moved")).first()["moved"])
     step = F.lit(0)
     if ahead:
         by = W.partitionBy("book", _SLICE).orderBy(*_WITHIN).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -137,6 +137,19 @@ def test_fold_follows_the_rules(spark, books, limit):
             assert (row.exit_option, row.exit_part, row.exit_question) == state
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_odd_readings_fold_alike_whole_and_in_segments(spark, limit):
+    pages = spark.createDataFrame([("b", f"{n:03d}.jpg", True) for n in range(1, 7)], "book string, page string, detected boolean")
+    odd = [("option", 100_001, None), ("part", None, "C"), ("question", None, None), ("part", None, "B"), ("question", None, None)]
+    plain = [("option", 1, None), ("part", None, None), ("question", None, None), ("part", None, "B"), ("question", None, None)]
+    outcomes = []
+    for readings in (odd, plain):
+        made = [("b", f"{n:03d}.jpg", i, *r, False) for n in range(1, 7) for i, r in enumerate(readings)]
+        folded = nb.number_books(nb.fold_rows(pages, spark.createDataFrame(made, REGIONS)), limit=limit)
+        outcomes.append(sorted(map(str, folded.collect())))
+    assert outcomes[0] == outcomes[1]
+
+
 def test_negative_control(spark, books):
     """The comparison can fail: another reading order gives other placements."""
     pages, regions, folders, decisions = frames(spark, books)
