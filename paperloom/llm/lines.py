@@ -52,15 +52,16 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(k1, k2, at, n, i, left_out, whole): for each word of a line, the key of the line without it, and of the whole line.
+    """n, i, left_out and whole beside the columns of the lines: for each word i, the key of the line without it, and of all of it.
 
     A key is a sum over words of hash times a number drawn from the position, modulo a prime, twice over (62 bits). Without
     word i, the words after it count with the position before theirs; running sums give all keys of a line in one pass.
     """
-    spread = lines.select("k1", "k2", "at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    own = [F.col(c) for c in lines.columns if c != "words"]
+    spread = lines.select(*own, F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     line = Window.partitionBy("k1", "k2").orderBy("i")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
-    after = line.rowsBetween(1, Window.unboundedFollowing)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("k1", "k2")
 
     def residue(*of) -> Column:
@@ -74,10 +75,11 @@ def variants(lines: DataFrame) -> DataFrame:
         return first % PRIME * (PRIME + 1) + second % PRIME
 
     without = [
-        F.coalesce(F.sum(f"own{f}").over(before), F.lit(0)) + F.coalesce(F.sum(f"moved{f}").over(after), F.lit(0)) for f in (1, 2)
+        F.coalesce(F.sum(f"own{f}").over(before), F.lit(0)) + F.sum(f"moved{f}").over(every) - F.sum(f"moved{f}").over(upto)
+        for f in (1, 2)
     ]
     whole = [F.sum(f"own{f}").over(every) for f in (1, 2)]
-    return spread.select("k1", "k2", "at", "n", "i", key(*without).alias("left_out"), key(*whole).alias("whole"))
+    return spread.select(*own, "n", "i", key(*without).alias("left_out"), key(*whole).alias("whole"))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -105,25 +107,30 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     another without one of its words, meet under one hashed key; each key keeps its earliest line, so a key that very many
     lines share costs a minimum and no pairs. Every hit is then verified against the words.
     """
-    halves = firsts.where("halves is not null").select("k1", F.explode("halves").alias("half"))
+    halves = firsts.where("halves is not null").select("k1", "n", F.posexplode("halves").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    likely = halves.join(shared, "half").select("k1").distinct()
+    # Where a first half is shared the words differ behind it, where a second half is, ahead of it: variants from there only.
+    least = F.col("n") - F.floor(F.col("which") / 2)
+    head = F.floor(least / 2)
+    behind, ahead = F.when(F.col("which") % 2 == 0, head), F.when(F.col("which") % 2 == 1, F.col("n") - least + head)
+    likely = halves.join(shared, "half").groupBy("k1").agg(F.min(behind).alias("behind"), F.max(ahead).alias("ahead"))
     wanted = (
-        firsts.join(likely, "k1", "left_semi")
+        firsts.join(likely, "k1")
         .groupBy(F.col("at.doc_id").alias("d"), F.col("at.tkey").alias("t"))
-        .agg(F.collect_list(F.struct("k1", "k2", "at")).alias("wanted"))  # lines of one document
+        .agg(F.collect_list(F.struct("k1", "k2", "at", "behind", "ahead")).alias("wanted"))  # lines of one document
     )
     texts = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     found = (
         texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
         .withColumn("lines", F.split("text", "\n"))
         .select("lines", F.explode("wanted").alias("w"))
-        .select("w.k1", "w.k2", "w.at", _words(F.get("lines", F.col("w.at.line_no"))).alias("words"))
+        .select("w.*", _words(F.get("lines", F.col("w.at.line_no"))).alias("words"))
     )
     lines = settle(found.dropDuplicates(["k1", "k2"]))
-    spread = settle(variants(lines).where(F.col("n") >= NEAR_WORDS - 1))
+    may_differ = (F.col("i") >= F.col("behind")) | (F.col("i") < F.col("ahead"))
+    spread = settle(variants(lines).withColumn("emits", F.coalesce(may_differ, F.lit(False))).where("i = 0 or emits"))
     whole = spread.where("i = 0").select("k1", "k2", "at", F.col("n").alias("m"), "whole")
-    long = spread.where(F.col("n") >= NEAR_WORDS)
+    long = spread.where((F.col("n") >= NEAR_WORDS) & F.col("emits")).select("k1", "k2", "at", "n", "i", "left_out")
     earliest = F.min("at").alias("witness")
 
     replaced = long.groupBy("n", "i", "left_out").agg(earliest, F.count("*").alias("c")).where("c > 1").drop("c")
@@ -179,11 +186,12 @@ def _per_document(dropped: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, length_col: str | None = None) -> DataFrame:
     """Documents without their superfluous lines, columns as given; a document that loses all of its words goes.
 
     Null and empty texts, and texts without a word, stay as they are. Rows with the same id and text count as one document and
-    are treated alike. Lines of fewer than MIN_WORDS words stay. Columns other than doc_id and text are passed on.
+    are treated alike. Lines of fewer than MIN_WORDS words stay. Columns other than doc_id and text are passed on; length_col, if
+    there is one of that name, is set to the characters of a text that has lost lines.
     """
     gone = _per_document(dropped_lines(docs.select("doc_id", "text")))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
@@ -192,10 +200,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
     rest = F.array_join(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)), "\n")
     text = F.when(untouched, F.col("text")).otherwise(rest)
+
+    def given(name: str) -> Column:
+        if name == "text":
+            return F.col("_text")
+        if name == length_col:
+            return F.when(untouched, F.col(name)).otherwise(F.length("_text").cast(docs.schema[name].dataType))
+        return F.col(name)
+
     return (
         split.withColumn("_text", text)
         .where(untouched | F.col("_text").rlike(WORD))
-        .select(*[F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+        .select(*[given(c).alias(c) for c in docs.columns])
     )
 
 
