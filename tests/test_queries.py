@@ -6,6 +6,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+import bench
 from paperloom import workload
 
 NAMES = sorted(workload.all_queries())
@@ -42,6 +43,23 @@ def test_query(spark, small, duck, name):
         assert difference(df, duck, sql) is None
 
 
+@pytest.fixture
+def compiled(spark):
+    """The settings a user has: compiled plans."""
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("name", bench.HEADLINE)
+def test_headline_query_compiled(spark, small, duck, compiled, name):
+    assert difference(entry.queries()[name](spark, small), duck, entry.oracle_sql()[name]) is None
+
+
 def test_comparison_can_fail(spark, small, duck):
     df = entry.queries()["session_results"](spark, small).limit(10)
     assert difference(df, duck, entry.oracle_sql()["session_results"]) is not None

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import audit, corpus, ports
+from paperloom.operators import audit, corpus, ports, replay
 from paperloom.sources import documents, files, sinks, tables
 
 
@@ -140,6 +140,11 @@ def test_recordings_and_completion(spark, tmp_path):
     answers.select(F.lit(9).alias("version"), "*").write.parquet(str(tmp_path / "old"))
     with pytest.raises(ValueError, match="version 9"):
         tables.read_recording(spark, str(tmp_path / "old"))
+    run = spark.createDataFrame([("a/1.png", "x"), ("a/2.png", "y")], "path string, digest string")
+    tables.write_outputs(run, str(tmp_path / "outputs"))
+    now = run.withColumn("digest", F.when(F.col("digest") == "y", "z").otherwise(F.col("digest")))
+    changed = replay.manifest_diff(tables.read_outputs(spark, str(tmp_path / "outputs")), now)
+    assert [tuple(r) for r in changed.collect()] == [("a/2.png", "changed")]
     log = str(tmp_path / "log")
     assert tables.read_completed(spark, log).count() == 0
     done = spark.createDataFrame([("math", "2016"), ("math", "2016")], "subject string, identifier string")
