@@ -176,15 +176,16 @@ def stack_layout(spark, folder):
 
 
 def _boxes(spark, folder):
-    """A prediction per embedding: three classes, two or three outlines of 0 to 8 points."""
+    """A prediction per embedding: three classes, two or three outlines of 0 to all points that its values make."""
     v, i = F.col("embedding"), F.col("vec_id")
+    points = F.floor(F.size(v) / 2).cast("int")
 
     def outline(n):
-        at = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: j < n)
+        at = F.filter(F.sequence(F.lit(0), points - 1), lambda j: j < n)
         return F.transform(at, lambda j: F.struct((F.get(v, j * 2).cast("double") * 0.5 + 0.5).alias("x"), (F.get(v, j * 2 + 1).cast("double") * 0.5 + 0.5).alias("y")))
 
     classes = F.array((i % 4).cast("int"), ((i + 1) % 4).cast("int"), ((i + 2) % 4).cast("int"))
-    outlines = F.array(outline(i % 9), outline((i + 4) % 9), outline(F.lit(8)))
+    outlines = F.array(outline(i % 33), outline((i + 4) % 33), outline(points))
     return Tables(spark, folder).read("embeddings").select(
         i.cast("string").alias("page"),
         classes.alias("class_ids"),
@@ -373,13 +374,13 @@ SQL = {
           (max(rx + width) OVER s - min(rx) OVER s)::BIGINT AS canvas_width, (max(ry + height) OVER s - min(ry) OVER s)::BIGINT AS canvas_height
         FROM run WINDOW s AS (PARTITION BY l_orderkey)""",
     "usable_detections": """
-        WITH d AS (SELECT vec_id, j, (vec_id + j) % 4 AS class, CASE j WHEN 0 THEN vec_id % 9 WHEN 1 THEN (vec_id + 4) % 9 ELSE 8 END AS points
+        WITH d AS (SELECT vec_id, j, (vec_id + j) % 4 AS class, CASE j WHEN 0 THEN vec_id % 33 WHEN 1 THEN (vec_id + 4) % 33 ELSE len(embedding) // 2 END AS points
                    FROM embeddings, (SELECT unnest([0, 1, 2]) AS j) WHERE j < vec_id % 2 + 2)
         SELECT vec_id::VARCHAR AS page, count(*) FILTER (points >= 3) AS kept, count(*) FILTER (points < 3) AS dropped,
           coalesce(string_agg(['option', 'part', 'question', 'unknown'][class + 1], ',' ORDER BY j) FILTER (points >= 3), '') AS labels
         FROM d GROUP BY 1""",
     "reading_order": f"""
-        WITH {_RINGS}, d AS (SELECT vec_id, j, CASE j WHEN 0 THEN vec_id % 9 WHEN 1 THEN (vec_id + 4) % 9 ELSE 8 END AS n, xs, ys
+        WITH {_RINGS}, d AS (SELECT vec_id, j, CASE j WHEN 0 THEN vec_id % 33 WHEN 1 THEN (vec_id + 4) % 33 ELSE len(xs) END AS n, xs, ys
                    FROM pixels, (SELECT unnest([0, 1, 2]) AS j) WHERE j < vec_id % 2 + 2),
         kept AS (SELECT vec_id, j, list_min(xs[1:n]) AS mx, list_min(ys[1:n]) AS my, row_number() OVER (PARTITION BY vec_id ORDER BY j) - 1 AS ord
                  FROM d WHERE n >= 3)
