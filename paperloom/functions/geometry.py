@@ -15,17 +15,17 @@ def percent_to_normalised(polygon: Column) -> Column:
 
 
 def pixel_to_percent(polygon: Column, width: Column, height: Column) -> Column:
-    return _points(polygon, lambda x: x / width * 100.0, lambda y: y / height * 100.0)
+    return _points(polygon, lambda x: F.try_divide(x, width) * 100.0, lambda y: F.try_divide(y, height) * 100.0)
 
 
 def normalised_to_pixel(polygon: Column, width: Column, height: Column) -> Column:
-    """Scaled up and truncated toward zero."""
-    return _points(polygon, lambda x: (x * width).cast("int"), lambda y: (y * height).cast("int"))
+    """Scaled up and truncated toward zero; a coordinate that is no number, or too large for a pixel, becomes null."""
+    return _points(polygon, lambda x: (x * width).try_cast("int"), lambda y: (y * height).try_cast("int"))
 
 
 def from_pairs(pairs: Column) -> Column:
-    """``array<array<double>>`` points as structs."""
-    return F.transform(pairs, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    """``array<array<double>>`` points as structs; what a short pair lacks is null."""
+    return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
 def min_x(polygon: Column) -> Column:

@@ -94,7 +94,7 @@ def wrong_answers(scored: DataFrame) -> DataFrame:
 
 
 def in_review_order(mistakes: DataFrame) -> DataFrame:
-    return mistakes.orderBy("session_id", "part", "question_number")
+    return mistakes.repartition("session_id").sortWithinPartitions("session_id", "part", "question_number")
 
 
 def questions_with_image(questions: DataFrame, images: DataFrame) -> DataFrame:

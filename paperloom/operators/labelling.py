@@ -15,7 +15,6 @@ FILE_HOLDERS = "%d tasks hold %s"
 
 # How many entries a plan's report names.
 MOVES_SHOWN = 5
-OTHERS_SHOWN = 10
 
 
 def task_images(tasks: DataFrame, manifest: DataFrame, root: str) -> DataFrame:

@@ -60,7 +60,7 @@ def merge_sheets(normalised: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def in_answer_order(merged: DataFrame) -> DataFrame:
-    return merged.orderBy("subject", "year", "option", "part", "number")
+    return merged.repartition("subject", "year").sortWithinPartitions("subject", "year", "option", "part", "number")
 
 
 def answers_report(outcomes: DataFrame, skipped_years: DataFrame) -> DataFrame:
