@@ -279,8 +279,8 @@ def test_replay(spark):
 
 
 def test_preview_says_what_it_left_out(spark):
-    shown, more = labelling.preview(spark.range(12).withColumnRenamed("id", "task_id"), ["task_id"], labelling.OTHERS_SHOWN)
-    assert (shown.count(), more) == (10, 2)
+    shown, more = labelling.preview(spark.range(7).withColumnRenamed("id", "task_id"), ["task_id"], labelling.MOVES_SHOWN)
+    assert (shown.count(), more) == (5, 2)
 
 
 def test_renames_at_random(spark):
