@@ -21,8 +21,9 @@ THRESHOLD = 0.9
 LIST, LIST_MOST = 8, 64
 #: Vectors that are compared with each other at once, and the random cuts from which the graph starts.
 LEAF, TREES = 64, 12
-#: Refining ends when fewer than this share of the list places change, or after so many rounds.
-SETTLED, ROUNDS = 0.002, 6
+#: A full list grows by this factor. Refining ends when no list grows and a round finds less than this share of the links
+#: anew, or after so many rounds; neighbours below the threshold may still change then, which changes no answer.
+GROWTH, SETTLED, ROUNDS = 4, 0.002, 6
 #: Vectors of a block when the links of a large group are counted.
 BLOCK = 256
 #: Vectors of the recall audit (compared with all others), the share of their links that must be found, and the tries.
@@ -139,7 +140,7 @@ def best_lists(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def places(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, room, floor): the length of each node's list, doubled where it is full of links, and the cosine to beat.
+    """(node, room, floor, grows): the length of each node's list, enlarged where it is full of links, and the cosine to beat.
 
     A list with room left is beaten by anything.
     """
@@ -148,9 +149,9 @@ def places(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     joined = nodes.select("node", "room").join(state, "node", "left")
     grows = F.coalesce(F.col("full") & (F.col("held") >= F.col("room")) & (F.col("room") < LIST_MOST), F.lit(False))
-    room = F.when(grows, F.col("room") * 2).otherwise(F.col("room"))
+    room = F.when(grows, F.least(F.col("room") * GROWTH, F.lit(LIST_MOST))).otherwise(F.col("room"))
     floor = F.when(F.coalesce(F.col("held"), F.lit(0)) >= room, F.col("last")).otherwise(F.lit(-1.5))
-    return joined.select("node", room.cast("long").alias("room"), floor.alias("floor"))
+    return joined.select("node", room.cast("long").alias("room"), floor.alias("floor"), grows.alias("grows"))
 
 
 def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -168,10 +169,13 @@ def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None =
     found = in_groups(first.select("g", "node", "fresh", "floor", "room", "vector"), compare_group, LINKED)
     found = found.withColumn("fresh", F.lit(True))
     lists = settle(best_lists(found if start is None else found.unionByName(start.withColumn("fresh", F.lit(False))), nodes))
+    few = False
     for turn in range(1, ROUNDS + 1):
         following = settle(places(lists, nodes))
         forget(nodes)
         nodes = following
+        if few and nodes.where("grows").isEmpty():
+            break
         both = lists.select(F.col("u").alias("hub"), F.col("v").alias("node"), "fresh").union(lists.select(F.col("v"), F.col("u"), "fresh"))
         around = both.groupBy("hub", "node").agg(F.max("fresh").alias("fresh"))
         grouped = dealt(around, ["hub"], seed + turn).join(base.join(nodes, "node"), "node")
@@ -180,9 +184,8 @@ def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None =
         renewed = settle(best_lists(merged, nodes))
         forget(lists)
         lists = renewed
-        changed = lists.where("fresh").count()
-        if changed <= SETTLED * LIST * count:
-            break
+        found = lists.agg(F.count_if(F.col("link")).alias("links"), F.count_if(F.col("link") & F.col("fresh")).alias("new")).first()
+        few = found["new"] <= SETTLED * found["links"]
     return lists, nodes
 
 
@@ -253,9 +256,8 @@ def link_classes(vectors: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
         weights = vectors.select(F.col("node").alias("other"), "n")
         listed = both.join(weights, "other").groupBy("node").agg(F.sum("n").alias("links"))
-        crowded = (
-            lists.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("held"), F.min("link").alias("full")).where(f"full and held >= {LIST_MOST}")
-        )
+        lengths = lists.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("held"), F.min("link").alias("full"))
+        crowded = lengths.where("full").join(nodes.select("node", "room"), "node").where("held >= room")
         large = groups.join(crowded, "node", "left_semi").select("root").distinct()
         inside = groups.join(large, "root").withColumnRenamed("root", "component").join(vectors, "node")
         counted = count_in_blocks(inside.select("component", "node", "n", "vector"))
