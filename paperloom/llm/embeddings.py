@@ -26,6 +26,8 @@ LEAF, TREES = 64, 12
 GROWTH, SETTLED, ROUNDS = 4, 0.002, 6
 #: Vectors of a block when the links of a large group are counted.
 BLOCK = 256
+#: Centres of cells that are compared at once, and the angle (radians) by which a bound is widened against rounding.
+CENTRES, SLACK = 512, 1e-3
 #: Vectors of the recall audit (compared with all others), the share of their links that must be found, and the tries.
 AUDIT, RECALL, TRIES = 512, 0.98, 3
 
@@ -154,15 +156,16 @@ def places(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("node", room.cast("long").alias("room"), floor.alias("floor"), grows.alias("grows"))
 
 
-def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None = None, rooms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lists, nodes) after NN-descent: lists (u, v, sim, link, fresh), nodes (node, room, floor).
 
-    Lists start from the leaves of random cuts (and from *start*, if given). Each round compares, for every node, the
+    Lists start from the leaves of random cuts (and from *start* with the lengths in *rooms*, if given). Each round compares, for every node, the
     nodes that it lists or that list it, if one of the two is new there; members of a long list of them are dealt into groups of LEAF.
     """
     count = vectors.count()
     bits = max(1, int(np.ceil(np.log2(max(2, count / LEAF)))))
-    nodes = settle(vectors.select("node", F.lit(LIST).cast("long").alias("room"), F.lit(-1.5).alias("floor")))
+    room = F.lit(LIST).cast("long").alias("room")
+    nodes = settle((vectors.select("node", room) if rooms is None else rooms.select("node", "room")).withColumn("floor", F.lit(-1.5)))
     base = vectors.select("node", "vector")
     cuts = dealt(leaves(vectors, bits, seed), ["tree", "size", "code"], seed)
     first = cuts.join(base.join(nodes, "node"), "node").withColumn("fresh", F.lit(True))
@@ -246,24 +249,103 @@ def audit(vectors: DataFrame, links: DataFrame) -> float:
     return seen["f"] / seen["t"] if seen["t"] else 1.0
 
 
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit vectors, rows of the left side, rows of the right side) of a group of work; side 2 is on both."""
+    side = group.column("side").to_numpy()
+    return matrix(group.column("vector").combine_chunks()), np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def compare_centres(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The cells of different components that are near enough for a link between two of their vectors."""
+    unit, left, right = _sides(group)
+    node, root, radius = (group.column(c).to_numpy() for c in ("node", "root", "radius"))
+    apart = np.arccos(np.clip(unit[left] @ unit[right].T, -1, 1))
+    near = apart <= radius[left][:, None] + radius[right][None, :] + np.arccos(THRESHOLD) + SLACK
+    near &= root[left][:, None] != root[right][None, :]
+    if len(left) == len(right) == len(node):  # the same block twice
+        near &= node[left][:, None] < node[right][None, :]
+    i, j = np.nonzero(near)
+    yield pa.RecordBatch.from_arrays([pa.array(node[left[i]], pa.int64()), pa.array(node[right[j]], pa.int64())], ["a", "b"])
+
+
+def find_link(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One link between the two sides of a group, if there is any: it joins their components, whose links are then counted."""
+    unit, left, right = _sides(group)
+    node = group.column("node").to_numpy()
+    i, j = np.nonzero(cosines(unit[left], unit[right]) >= THRESHOLD)
+    if len(i):
+        yield pa.RecordBatch.from_arrays([pa.array(node[left[i[:1]]], pa.int64()), pa.array(node[right[j[:1]]], pa.int64())], ["a", "b"])
+
+
+def bridges(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b): a link between any two components of members (node, root, size, vector) that have one. None is missed.
+
+    Every vector goes to the cell of the one with the smallest hash among itself and the links in its list, so a cell lies in one
+    component and within a known angle of its centre. Cells of different components are compared with all their vectors if
+    the angle between their centres allows a link at all.
+    """
+    own = members.select("node", F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.lit(1.0).alias("sim"))
+    listed = lists.where("link").select(F.col("u").alias("node"), F.xxhash64("v").alias("h"), F.col("v").alias("centre"), "sim")
+    least = own.unionByName(listed).groupBy("node").agg(F.min(F.struct("h", "centre", "sim")).alias("x"))
+    placed = settle(members.join(least, "node").select("node", "root", "size", "vector", "x.centre", "x.sim"))
+    radius = F.acos(F.greatest(F.min("sim") - 1e-9, F.lit(-1.0)))
+    cells = placed.groupBy("centre").agg(radius.alias("radius"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cells = settle(members.join(cells, F.col("node") == F.col("centre")).drop("centre"))
+    counts = cells.groupBy("size").agg(F.ceil(F.count("*") / CENTRES).alias("parts"))
+    dealt_out = cells.join(counts, "size").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    pairs = dealt_out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") == low, 0).otherwise(1).cast("long")
+    work = pairs.select(F.xxhash64("size", low, high).alias("g"), side.alias("side"), "node", "root", "radius", "vector")
+    near = in_groups(work, compare_centres, "a long, b long")
+    for end in ("a", "b"):
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(f"block_{end}")
+        near = near.join(cells.select(F.col("node").alias(end), "blocks"), end).select(*near.columns, blocks)
+    near = settle(near.withColumn("g", F.xxhash64("a", "block_a", "b", "block_b")))
+    inside = placed.join(cells.select(F.col("node").alias("centre"), "blocks"), "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    ends = [
+        near.select("g", F.col(end).alias("centre"), F.col(f"block_{end}").alias("block"))
+        .join(inside, ["centre", "block"])
+        .select("g", F.lit(k).cast("long").alias("side"), "node", "vector")
+        for k, end in enumerate(("a", "b"))
+    ]
+    return in_groups(ends[0].unionByName(ends[1]), find_link, "a long, b long")
+
+
+def bridged(edges: DataFrame, groups: DataFrame, members: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups (node, root) and members with the components joined that have a link between members, which full lists may leave out."""
+    if members.select("root").distinct().limit(2).count() < 2:
+        return groups, members
+    joined = settle(bridges(members.drop("n"), lists))
+    if joined.isEmpty():
+        return groups, members
+    groups = settle(components(edges.unionByName(joined)).withColumnRenamed("component", "root"))
+    return groups, settle(members.drop("root").join(groups, "node"))
+
+
+def recounted(listed: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, links): as listed, and counted anew over all pairs of a component for members (node, root, n, vector)."""
+    counted = count_in_blocks(members.select(F.col("root").alias("component"), "node", "n", "vector"))
+    both = listed.join(counted.withColumnRenamed("links", "exact"), "node", "full")
+    return both.select("node", F.coalesce("exact", "links").alias("links"))
+
+
 def link_classes(vectors: DataFrame) -> DataFrame:
     """(node, links, root): for each of the vectors (node, n, size, vector) the vectors of other nodes linked to it, and its component."""
-    lists = None
+    lists = nodes = None
     for attempt in range(TRIES):
-        lists, nodes = neighbour_graph(vectors, 1000 * attempt, lists)
+        lists, nodes = neighbour_graph(vectors, 1000 * attempt, lists, nodes)
         edges = settle(lists.where("link").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
         groups = settle(components(edges).withColumnRenamed("component", "root"))
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
         weights = vectors.select(F.col("node").alias("other"), "n")
-        listed = both.join(weights, "other").groupBy("node").agg(F.sum("n").alias("links"))
+        listed = settle(both.join(weights, "other").groupBy("node").agg(F.sum("n").alias("links")))
         lengths = lists.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("held"), F.min("link").alias("full"))
         crowded = lengths.where("full").join(nodes.select("node", "room"), "node").where("held >= room")
         large = groups.join(crowded, "node", "left_semi").select("root").distinct()
-        inside = groups.join(large, "root").withColumnRenamed("root", "component").join(vectors, "node")
-        counted = count_in_blocks(inside.select("component", "node", "n", "vector"))
-        links = settle(
-            listed.join(counted.withColumnRenamed("links", "exact"), "node", "left").select("node", F.coalesce("exact", "links").alias("links"))
-        )
+        inside = settle(groups.join(large, "root").join(vectors, "node").select("node", "root", "n", "size", "vector"))
+        groups, inside = bridged(edges, groups, inside, lists)
+        links = settle(recounted(listed, inside))
         if audit(vectors, links) >= RECALL:
             break
     return links.join(groups, "node")

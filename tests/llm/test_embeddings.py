@@ -83,3 +83,20 @@ def test_blocks_count_every_pair(spark, monkeypatch):
     unit = {i: np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for i, v in rows}
     want = sorted((a, sum(1 + b % 2 for b in unit if b != a and unit[a] @ unit[b] >= 0.9)) for a in unit)
     assert sorted(tuple(r) for r in embeddings.count_in_blocks(df).collect()) == want
+
+
+def bridged(seed, size=200, dim=32):
+    """Two groups with cosines above 0.98 inside and a few at 0.9 across."""
+    rng = np.random.default_rng(seed)
+    base, other = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    angle = np.arccos(0.86)
+    centres = [base, np.cos(angle) * base + np.sin(angle) * other]
+    rows = [c + rng.normal(size=dim) * 0.12 / np.sqrt(dim) for c in centres for _ in range(size)]
+    return [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(rows)]
+
+
+def test_crowded_groups_linked_by_what_full_lists_leave_out(spark):
+    rows = bridged(8)
+    want = plain(rows)
+    assert {r[2] for r in want} == {0} and any(r[1] == 199 for r in want)
+    assert as_rows(embeddings.near_vectors(vectors(spark, rows))) == want
