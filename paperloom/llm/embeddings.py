@@ -19,10 +19,13 @@ travels(__name__)
 THRESHOLD = 0.9
 #: Length of a neighbour list at first, and the most it is enlarged to; beyond that a group is compared in blocks.
 LIST, LIST_MOST = 8, 64
-#: Vectors that are compared with each other at once, and the random cuts from which the graph starts.
-LEAF, TREES = 64, 12
+#: Vectors that are compared with each other at once. The graph starts from so many random cuts that two vectors at the
+#: threshold share a cell in one of them with probability MEET; cells that are too large are cut again so many times.
+LEAF, MEET, RECUTS = 64, 0.99, 4
+#: Bits of a code from which a cut takes as many as it needs.
+CODE = 62
 #: A full list grows by this factor. Refining ends when no list grows and a round finds less than this share of the links
-#: anew, or after so many rounds; neighbours below the threshold may still change then, which changes no answer.
+#: anew (in lists that are not full of links), or after so many rounds; neighbours below the threshold may still change then, which changes no answer.
 GROWTH, SETTLED, ROUNDS = 4, 0.002, 6
 #: Vectors of a block when the links of a large group are counted.
 BLOCK = 256
@@ -102,28 +105,55 @@ def compare_group(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield _table(node[i], node[order[i, k]], np.round(best[i, k], 9), best[i, k] >= THRESHOLD)
 
 
-def leaves(vectors: DataFrame, bits: int, seed: int) -> DataFrame:
-    """(g, node, vector) for every vector in each of TREES random cuts of the space: the signs of *bits* projections."""
+def trees_for(bits: int) -> int:
+    """Random cuts of so many bits in one of which two vectors at the threshold share a cell with probability MEET."""
+    together = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return int(np.ceil(np.log(1 - MEET) / np.log1p(-together)))
+
+
+def leaves(vectors: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(node, size, tree, code) for every vector in each of the random cuts of the space: the signs of CODE projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             lengths = np.array(batch.column("size").to_pylist())
             for size in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == size))
-                if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).normal(size=(size, TREES * bits))
-                signs = (matrix(part.column("vector")) @ planes[size] > 0).reshape(part.num_rows, TREES, bits)
-                codes = signs @ (1 << np.arange(bits, dtype=np.int64))
-                for tree in range(TREES):
+                unit = matrix(part.column("vector"))
+                for tree in range(trees):
+                    if (size, tree) not in planes:
+                        planes[size, tree] = np.random.default_rng([seed, size, tree]).normal(size=(size, CODE))
+                    codes = (unit @ planes[size, tree] > 0) @ (1 << np.arange(CODE, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("node"), part.column("size"), pa.array(np.full(part.num_rows, tree), pa.int64()), pa.array(codes[:, tree], pa.int64())],
+                        [part.column("node"), part.column("size"), pa.array(np.full(part.num_rows, tree), pa.int64()), pa.array(codes, pa.int64())],
                         ["node", "size", "tree", "code"],
                     )
 
     return vectors.select("node", "size", "vector").mapInArrow(run, "node long, size int, tree long, code long")
 
 
+def recut(codes: DataFrame, bits: int) -> DataFrame:
+    """(node, size, tree, depth, cell): the first bits of each code; a cell of more than LEAF is cut by further bits, as its size asks."""
+    cell = F.expr("code & (shiftleft(1L, depth) - 1)")
+    open_ones = codes.withColumn("depth", F.lit(min(bits, CODE)))
+    done = []
+    for _ in range(RECUTS):
+        cut = open_ones.withColumn("cell", cell)
+        keys = ["tree", "size", "depth", "cell"]
+        further = F.ceil(F.log2(F.col("members") / LEAF)).cast("int")
+        over = settle(cut.groupBy(*keys).agg(F.count("*").alias("members")).where((F.col("members") > LEAF) & (F.col("depth") < CODE)))
+        if over.isEmpty():
+            break
+        done.append(cut.join(over, keys, "left_anti").drop("code"))
+        deeper = F.least(F.col("depth") + F.greatest(further, F.lit(1)), F.lit(CODE)).alias("depth")
+        open_ones = settle(cut.join(over, keys).select("node", "size", "tree", "code", deeper))
+    out = open_ones.withColumn("cell", cell).drop("code")
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def dealt(members: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """members with g: their group by *keys*; a group of more than LEAF is dealt out anew each time, so that nothing is left out for
     good and no task holds it whole."""
@@ -156,6 +186,12 @@ def places(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("node", room.cast("long").alias("room"), floor.alias("floor"), grows.alias("grows"))
 
 
+def open_links(lists: DataFrame) -> DataFrame:
+    """(u, links, new) for the lists that are not full of links: what large groups still find says nothing about the others."""
+    state = lists.groupBy("u").agg(F.count_if("link").alias("links"), F.count_if(F.col("link") & F.col("fresh")).alias("new"))
+    return state.where(F.col("links") < LIST)
+
+
 def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None = None, rooms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lists, nodes) after NN-descent: lists (u, v, sim, link, fresh), nodes (node, room, floor).
 
@@ -167,7 +203,8 @@ def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None =
     room = F.lit(LIST).cast("long").alias("room")
     nodes = settle((vectors.select("node", room) if rooms is None else rooms.select("node", "room")).withColumn("floor", F.lit(-1.5)))
     base = vectors.select("node", "vector")
-    cuts = dealt(leaves(vectors, bits, seed), ["tree", "size", "code"], seed)
+    codes = settle(leaves(vectors, trees_for(bits), seed))
+    cuts = dealt(recut(codes, bits), ["tree", "size", "depth", "cell"], seed)
     first = cuts.join(base.join(nodes, "node"), "node").withColumn("fresh", F.lit(True))
     found = in_groups(first.select("g", "node", "fresh", "floor", "room", "vector"), compare_group, LINKED)
     found = found.withColumn("fresh", F.lit(True))
@@ -187,8 +224,8 @@ def neighbour_graph(vectors: DataFrame, seed: int = 0, start: DataFrame | None =
         renewed = settle(best_lists(merged, nodes))
         forget(lists)
         lists = renewed
-        found = lists.agg(F.count_if(F.col("link")).alias("links"), F.count_if(F.col("link") & F.col("fresh")).alias("new")).first()
-        few = found["new"] <= SETTLED * found["links"]
+        found = open_links(lists).agg(F.sum("links").alias("links"), F.sum("new").alias("new")).first()
+        few = (found["new"] or 0) <= SETTLED * (found["links"] or 0)
     return lists, nodes
 
 
@@ -222,12 +259,13 @@ def count_in_blocks(members: DataFrame) -> DataFrame:
     return in_groups(work, count_block, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(vectors: DataFrame, links: DataFrame) -> float:
-    """The share of the links of AUDIT vectors (those with the smallest hashes) that are in links (node, links).
+def audit(vectors: DataFrame, links: DataFrame, among: DataFrame | None = None) -> float:
+    """The share of the links of AUDIT vectors (those with the smallest hashes, of *among* if given) that are in links (node, links),
+    as a mean over the vectors that have a link, so that one with very many hides nothing.
 
     Each is compared with every vector; the audited ones are the only vectors that leave the executors.
     """
-    chosen = vectors.select("node", "vector", "size").orderBy(F.xxhash64("node")).limit(AUDIT).collect()
+    chosen = (vectors if among is None else among).select("node", "vector", "size").orderBy(F.xxhash64("node")).limit(AUDIT).collect()
     by_size: dict[int, tuple] = {}
     for size in {r["size"] for r in chosen}:
         own = [r for r in chosen if r["size"] == size]
@@ -245,8 +283,9 @@ def audit(vectors: DataFrame, links: DataFrame) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hit @ weight, pa.int64())], ["node", "true"])
 
     true = vectors.select("node", "n", "size", "vector").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    seen = true.join(links, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return seen["f"] / seen["t"] if seen["t"] else 1.0
+    share = F.least("true", F.coalesce("links", F.lit(0))) / F.col("true")
+    found = true.where(F.col("true") > 0).join(links, "node", "left").agg(F.avg(share).alias("share")).first()
+    return 1.0 if found["share"] is None else found["share"]
 
 
 def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,22 +372,26 @@ def recounted(listed: DataFrame, members: DataFrame) -> DataFrame:
 def link_classes(vectors: DataFrame) -> DataFrame:
     """(node, links, root): for each of the vectors (node, n, size, vector) the vectors of other nodes linked to it, and its component."""
     lists = nodes = None
+    alike = settle(vectors.withColumn("n", F.lit(1).cast("long")))
     for attempt in range(TRIES):
         lists, nodes = neighbour_graph(vectors, 1000 * attempt, lists, nodes)
         edges = settle(lists.where("link").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
         groups = settle(components(edges).withColumnRenamed("component", "root"))
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "other")
         weights = vectors.select(F.col("node").alias("other"), "n")
-        listed = settle(both.join(weights, "other").groupBy("node").agg(F.sum("n").alias("links")))
+        listed = settle(both.join(weights, "other").groupBy("node").agg(F.sum("n").alias("links"), F.count("*").alias("others")))
         lengths = lists.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("held"), F.min("link").alias("full"))
         crowded = lengths.where("full").join(nodes.select("node", "room"), "node").where("held >= room")
         large = groups.join(crowded, "node", "left_semi").select("root").distinct()
         inside = settle(groups.join(large, "root").join(vectors, "node").select("node", "root", "n", "size", "vector"))
-        groups, inside = bridged(edges, groups, inside, lists)
-        links = settle(recounted(listed, inside))
-        if audit(vectors, links) >= RECALL:
+        found = audit(alike, listed.select("node", F.col("others").alias("links")), alike.join(inside, "node", "left_anti"))
+        if found >= RECALL:
             break
-    return links.join(groups, "node")
+    else:  # cuts do not find them: every component, lone vectors among them, is compared as large ones are
+        rooted = vectors.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        inside = settle(rooted.select("node", "root", "n", "size", "vector"))
+    groups, inside = bridged(edges, groups, inside, lists)
+    return recounted(listed.select("node", "links"), inside.join(groups, ["node", "root"], "left_semi")).join(groups, "node")
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

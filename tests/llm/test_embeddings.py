@@ -100,3 +100,34 @@ def test_crowded_groups_linked_by_what_full_lists_leave_out(spark):
     want = plain(rows)
     assert {r[2] for r in want} == {0} and any(r[1] == 199 for r in want)
     assert as_rows(embeddings.near_vectors(vectors(spark, rows))) == want
+
+
+def test_cuts_grow_with_the_table():
+    for bits in range(1, 21):
+        together = (1 - np.arccos(embeddings.THRESHOLD) / np.pi) ** bits
+        assert 1 - (1 - together) ** embeddings.trees_for(bits) >= 0.99
+
+
+def test_large_cells_are_cut_again(spark):
+    rng = np.random.default_rng(9)
+    codes = [(i, 8, 0, int(c)) for i, c in enumerate(rng.integers(0, 2**40, 900) * 4)]  # the first two bits are the same
+    df = spark.createDataFrame(codes, "node long, size int, tree long, code long")
+    held = {}
+    for r in embeddings.recut(df, 2).collect():
+        held.setdefault((r.depth, r.cell), []).append(r.node)
+    code = {i: c for i, _, _, c in codes}
+    assert max(map(len, held.values())) <= embeddings.LEAF and sum(map(len, held.values())) == 900
+    assert all(code[i] % 2**depth == cell for (depth, cell), own in held.items() for i in own)
+
+
+def test_lone_pairs_that_no_cut_finds(spark, monkeypatch):
+    rows = clusters(6, [2] * 20 + [100], lone=40)
+    graph = embeddings.neighbour_graph
+
+    def blind(*args):
+        lists, nodes = graph(*args)
+        degree = lists.where("link").groupBy("u").count().where("count > 20").select("u")
+        return embeddings.settle(lists.join(degree, "u", "left_semi")), nodes
+
+    monkeypatch.setattr(embeddings, "neighbour_graph", blind)
+    assert as_rows(embeddings.near_vectors(vectors(spark, rows))) == plain(rows)
