@@ -71,16 +71,18 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def within_bands(raw: bytes, compress) -> tuple[float, float, bool]:
-    """(ratio of the whole text, share of its full chunks beyond the chunk limits, whether both are within the limits).
+    """(ratio of the whole text, share of its chunks beyond the chunk limits, whether both are within the limits).
 
-    The ratio of an empty text is 1, and a text without a full chunk has none beyond the limits.
+    Where full chunks leave a rest, the text's last CHUNK bytes are one more chunk. The ratio of an empty text is 1. A text of less
+    than a chunk has none: its ratio is judged by the limits of its length.
     """
     ratio = len(compress(raw)) / len(raw) if raw else 1.0
     low, high = next((low, high) for least, low, high in reversed(BANDS) if len(raw) >= least)
-    chunks = len(raw) // CHUNK
-    beyond = sum(
-        not CHUNK_BAND[0] <= len(compress(raw[i * CHUNK : (i + 1) * CHUNK])) / CHUNK <= CHUNK_BAND[1] for i in range(chunks)
-    )
+    starts = list(range(0, len(raw) - CHUNK + 1, CHUNK))
+    if starts and len(raw) % CHUNK:
+        starts.append(len(raw) - CHUNK)
+    chunks = len(starts)
+    beyond = sum(not CHUNK_BAND[0] <= len(compress(raw[i : i + CHUNK])) / CHUNK <= CHUNK_BAND[1] for i in starts)
     share = beyond / chunks if chunks else 0.0
     return ratio, share, low <= ratio <= high and share <= CHUNK_SHARE
 

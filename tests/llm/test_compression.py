@@ -50,5 +50,15 @@ def test_bands():
     assert not verdict(prose * 1 + "".join("spam and eggs " * 73 for _ in range(len(prose) // 1024 or 1)))
 
 
+def test_the_rest_behind_full_chunks_is_judged():
+    rng = random.Random(2)
+    prose = sentence(rng, 400).encode("ascii", "ignore")[:1024].decode()
+    junk = "".join(map(chr, rng.choices(range(33, 127), k=1000)))
+    compress = zstandard.ZstdCompressor(level=3).compress
+    ratio, share, fits = compression.within_bands((prose + junk).encode(), compress)
+    assert 0.34 <= ratio <= 0.80 and share > compression.CHUNK_SHARE and not fits
+    assert verdict(prose)
+
+
 def test_empty_table(spark):
     assert compression.judge(spark.createDataFrame([], DOCUMENTS)).count() == 0
