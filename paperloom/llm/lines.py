@@ -10,7 +10,7 @@ from paperloom.llm.common import WORD, settle
 
 #: Lines of fewer words are left alone.
 MIN_WORDS = 3
-#: Two lines are near if one word is added, dropped or replaced, and the longer has this many words (similarity 0.8).
+#: Two lines are near if one word is added, dropped or replaced, and the longer has this many words.
 NEAR_WORDS = 5
 #: Sums of word hashes are kept below 2**31, so that products stay within a long.
 PRIME = 2**31 - 1
