@@ -13,7 +13,7 @@ from paperloom.llm.common import settle
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language (op8): those without a letter, and those in which none stands out, go.
+    """Documents with a language (op8): those without a letter go. With four languages or fewer the limit rejects no other text.
 
     The network is trained on documents of this stage's own input that are not held out.
     """
