@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("embeddings", "simhash", "pii", "sharding", "mixing", "compression", "bpe", "langid", "lines", "urls", "middle", "resample")
+MODULES = ("embeddings", "simhash", "pii", "sharding", "mixing", "compression", "bpe", "langid", "lines", "urls", "middle", "resample", "secret_scan")
 
 
 def _gather(attribute: str) -> dict:

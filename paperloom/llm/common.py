@@ -60,10 +60,10 @@ def hashed(value: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000, measure=pc.binary_length) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that *column* holds about *most* bytes in each; a longer value comes alone."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(measure(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and held + size > most:
