@@ -5,11 +5,14 @@ Each function returns the table as it is afterwards; the caller writes it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.plans.ordered import running
+from paperloom.plans.session import cut_lineage
 
 
 # Where offers carry this column they are applied in its order.
@@ -141,39 +144,54 @@ def delete_plan(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> Dat
     *ids* holds the roots in its only column. Cascades are followed through every reference; a root
     that a restricting reference is found under is blocked, which shows as ``blocked`` rows naming what
     refers to it. References that are set to null show as ``set null``.
+
+    Rows reached so far stand in one frontier (root, table, key). A level takes the tables all of whose referenced tables have been
+    reached, reads each once with all of its references, and joins them to the frontier; what it finds is written and becomes part of
+    the frontier. A table is thus read once, the root's own a second time where it refers to itself.
     """
     key = schemas.UNIQUE_KEYS[table][0][0]
-    roots = ids.select(F.col(ids.columns[0]).alias("root"))
-    reached = {table: roots.join(tables[table].select(F.col(key).alias("root")), "root", "left_semi").withColumn(key, F.col("root"))}
-    found = [_planned(reached[table], table, [key], "delete")]
-    waiting = [table]
-    while waiting:
-        parent = waiting.pop(0)
-        for child, column, target, target_key, action in schemas.FOREIGN_KEYS:
-            # A row's reference to its own table is only ever set to null here, so this ends.
-            if target != parent or child not in tables:
-                continue
-            pk = schemas.UNIQUE_KEYS[child][0]
-            hit = reached[parent].select("root", F.col(target_key).alias("_target"))
-            rows = tables[child].select(*pk, F.col(column).alias("_target")).join(hit, "_target").select("root", *pk)
-            if action == "cascade":
-                already = reached.get(child)
-                reached[child] = rows.distinct() if already is None else already.unionByName(rows).distinct()
-                if child not in waiting:
-                    waiting.append(child)
-            else:
-                found.append(_planned(rows, child, pk, "blocked" if action == "restrict" else "set null"))
-    found += [_planned(rows, name, schemas.UNIQUE_KEYS[name][0], "delete") for name, rows in reached.items() if name != table]
-    plan = found[0]
-    for part in found[1:]:
-        plan = plan.unionByName(part)
-    return plan.distinct()
-
-
-def _planned(rows: DataFrame, table: str, key: list[str], action: str) -> DataFrame:
-    return rows.select(
-        "root", F.lit(table).alias("table"), F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("key"), F.lit(action).alias("action")
-    )
+    roots = ids.select(F.col(ids.columns[0]).cast("string").alias("key")).distinct()
+    held = tables[table].select(F.col(key).cast("string").alias("key"), F.col(key).alias("root"))
+    start = held.join(roots, "key", "left_semi").select("root", F.lit(table).alias("table"), "key", F.lit("delete").alias("action"))
+    plan = cut_lineage(start.distinct())
+    for level in _levels(table, set(tables)):
+        every = reduce(DataFrame.unionByName, [_references(tables[child], child, keys) for child, keys in level.items()])
+        reached = plan.filter("action = 'delete'").select("root", F.col("table").alias("_parent"), F.col("key").alias("_at"))
+        found = every.join(reached, ["_parent", "_at"]).select("root", "table", "key", "action").distinct()
+        plan = plan.unionByName(cut_lineage(found))
+    return plan
+
+
+def _levels(table: str, present: set[str]) -> list[dict[str, list]]:
+    """Per level the tables to read, each with its references to what deleting rows of *table* reaches.
+
+    A table's level is one beyond the deepest table it refers to. References to the own table are only ever set to null here.
+    """
+    graph = [k for k in schemas.FOREIGN_KEYS if k[0] in present]
+    depth = {table: 0}
+    for _ in graph:
+        for child, _, parent, _, action in graph:
+            if action == "cascade" and parent in depth and child != parent:
+                depth[child] = max(depth.get(child, 0), depth[parent] + 1)
+    wanted: dict[str, list] = {}
+    for reference in graph:
+        if reference[2] in depth:
+            wanted.setdefault(reference[0], []).append(reference)
+    levels: dict[int, dict[str, list]] = {}
+    for child, references in wanted.items():
+        levels.setdefault(1 + max(depth[r[2]] for r in references), {})[child] = references
+    return [levels[k] for k in sorted(levels)]
+
+
+def _references(rows: DataFrame, child: str, keys: list) -> DataFrame:
+    """(table, key, _parent, _at, action): a row per reference of a child row, read in one pass."""
+    own = F.concat_ws("|", *[F.col(k).cast("string") for k in schemas.UNIQUE_KEYS[child][0]])
+    actions = {"cascade": "delete", "restrict": "blocked", "set null": "set null"}
+    each = [
+        F.struct(F.lit(parent).alias("_parent"), F.col(column).cast("string").alias("_at"), F.lit(actions[action]).alias("action"))
+        for _, column, parent, _, action in keys
+    ]
+    return rows.select(F.lit(child).alias("table"), own.alias("key"), F.explode(F.array(*each)).alias("_r")).select("table", "key", "_r.*")
 
 
 def deletable(plan: DataFrame) -> DataFrame:

@@ -255,7 +255,8 @@ SQL = {
     "delete_options_plan": with_views("options questions images question_topics sessions replies", f"{_OPTION_DELETES} SELECT * FROM plan"),
     "deletable_options": with_views(
         "options questions images question_topics sessions replies",
-        f"{_OPTION_DELETES} SELECT * FROM plan WHERE root NOT IN (SELECT root FROM plan WHERE action = 'blocked')",
+        f"""{_OPTION_DELETES}, told AS (SELECT *, bool_or(action = 'blocked') OVER (PARTITION BY root) AS held FROM plan)
+            SELECT * EXCLUDE (held) FROM told WHERE NOT held""",
     ),
     "manifest_diff": """
         WITH a AS (SELECT source || '/' || doc_id::VARCHAR AS path, md5(CASE WHEN doc_id % 11 = 0 THEN reverse(text) ELSE text END) AS d FROM documents WHERE doc_id % 7 <> 0),

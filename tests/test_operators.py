@@ -315,3 +315,28 @@ def test_renames_at_random(spark):
     numbered = corpus.number_pages(spark.createDataFrame(pages, "object_key string"))
     plan = corpus.plan_renames(numbered, spark.createDataFrame(twins, "directory string, stem string"))
     assert {r.object_key: r.outcome for r in plan.collect()} == expected
+
+
+def test_delete_plan_reaches_a_row_by_two_ways_once(spark):
+    def table(text, *rows):
+        return spark.createDataFrame(list(rows), text)
+
+    tables = {
+        "subjects": table("subject_id long", (1,), (2,)),
+        "books": table("book_id long, subject_id long", (10, 1), (11, 2)),
+        "options": table("option_id long, book_id long", (20, 10), (21, 11)),
+        "questions": table("question_id long, option_id long", (30, 20), (31, 21), (32, None)),
+        "topics": table("topic_id long, subject_id long", (40, 1), (41, 2)),
+        "question_topics": table("question_id long, topic_id long", (30, 40), (30, 41), (31, 41)),
+        "test_sessions": table("session_id long, student_telegram_id long, option_id long", (50, 7, 21)),
+    }
+    plan = changes.delete_plan(tables, "subjects", table("id long", (1,), (2,), (2,), (9,)))
+    got = sorted((r.root, r.table, r.key, r.action) for r in plan.collect())
+    assert got == sorted(
+        [(s, "subjects", str(s), "delete") for s in (1, 2)]
+        + [(1, "books", "10", "delete"), (2, "books", "11", "delete"), (1, "options", "20", "delete"), (2, "options", "21", "delete")]
+        + [(1, "questions", "30", "delete"), (2, "questions", "31", "delete"), (1, "topics", "40", "delete"), (2, "topics", "41", "delete")]
+        + [(s, "question_topics", k, "delete") for s, k in ((1, "30|40"), (1, "30|41"), (2, "30|41"), (2, "31|41"))]
+        + [(2, "test_sessions", "50", "blocked")]
+    )
+    assert {r.root for r in changes.deletable(plan).collect()} == {1}
