@@ -20,8 +20,12 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1))
 
 
-def _half(tag: int, least: Column, words: Column) -> Column:
-    return F.xxhash64(F.lit(tag), least, words)
+def one_spaced(line: Column) -> Column:
+    """A line's words with one space between them. Most lines are that already, which plain searches tell without a pattern."""
+    odd = line.startswith(" ") | line.endswith(" ")
+    for mark in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | line.contains(mark)
+    return F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -30,24 +34,22 @@ def line_table(docs: DataFrame) -> DataFrame:
     A line is its words: white space does not count. k1 and k2 identify it. halves: for a partner of as many words and for
     one of a word more or less, hashes of the first and second half; near lines share at least one of them.
     """
-    words = F.col("words")
 
-    def halves(least: Column) -> list[Column]:
-        head = F.floor(least / 2).cast("int")
+    def halves(least: str) -> list[Column]:
+        head = f"cast(floor({least} / 2) as int)"
         return [
-            _half(1, least, F.slice(words, F.lit(1), head)),
-            _half(2, least, F.slice(words, F.col("n") - (least - head) + 1, least - head)),
+            F.xxhash64(F.lit(1), F.expr(least), F.expr(f"substring_index(line, ' ', {head})")),
+            F.xxhash64(F.lit(2), F.expr(least), F.expr(f"substring_index(line, ' ', {head} - {least})")),
         ]
 
-    near = F.when(F.col("n") >= NEAR_WORDS - 1, F.array(*halves(F.col("n")), *halves(F.col("n") - 1)))
+    near = F.when(F.col("n") >= NEAR_WORDS - 1, F.array(*halves("n"), *halves("(n - 1)")))
+    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     return (
         docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("doc_id", "tkey", "line_no", _words(F.col("line")).alias("words"))
-        .withColumn("n", F.size("words"))
+        .withColumn("line", one_spaced(F.col("line")))
+        .withColumn("n", spaces + 1)
         .where(F.col("n") >= MIN_WORDS)
-        .select(
-            "doc_id", "tkey", "line_no", "n", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(3), "words").alias("k2"), near.alias("halves")
-        )
+        .select("doc_id", "tkey", "line_no", "n", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(3), "line").alias("k2"), near.alias("halves"))
     )
 
 
