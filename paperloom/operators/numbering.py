@@ -305,7 +305,12 @@ def page_outcomes(folded: DataFrame) -> DataFrame:
 
 
 def carry_fates(outcomes: DataFrame) -> DataFrame:
-    """What became of the pieces each page held: joined, lost or still unfinished at the book's end.
+    """What became of the pieces each page held: joined, lost or still unfinished at the book's end."""
+    return carried_into(outcomes).drop("into")
+
+
+def carried_into(outcomes: DataFrame) -> DataFrame:
+    """The fate of the pieces each page held, and the page that decided it (null at the book's end).
 
     The deciding page is the first later one that placed a question or was refused with the carry in
     hand: a page with *k* deciding pages up to and with it waits for the book's next, the *k + 1*-th.
@@ -318,10 +323,10 @@ def carry_fates(outcomes: DataFrame) -> DataFrame:
     pages = outcomes.select("book", "page_key", "page", "held", decides.alias("_decides"))
     count = F.col("_decides").isNotNull().cast("long")
     counted = running(pages, ["book"], ["page_key", "page"], sums={"_k": count})
-    deciding = counted.filter("_decides IS NOT NULL").select("book", F.col("_k").alias("_next"), F.col("_decides").alias("fate"))
+    deciding = counted.filter("_decides IS NOT NULL").select("book", F.col("_k").alias("_next"), F.col("_decides").alias("fate"), F.col("page").alias("into"))
     waiting = counted.filter("held > 0").select("book", "page", "held", (F.col("_k") + 1).alias("_next"))
     joined = waiting.join(deciding, ["book", "_next"], "left")
-    return joined.select("book", "page", "held", F.coalesce("fate", F.lit("unfinished")).alias("fate"))
+    return joined.select("book", "page", "held", F.coalesce("fate", F.lit("unfinished")).alias("fate"), "into")
 
 
 def page_faults(outcomes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import corpus, numbering
+from paperloom.operators import corpus, numbering, review
 from paperloom.workload.labelling import _RINGS
 from paperloom.workload.views import Tables, with_views
 
@@ -123,32 +123,100 @@ def corrected_regions(spark, folder):
     return numbering.apply_corrections(t.regions, _corrections(t))
 
 
-def _decisions(t: Tables):
-    """Pages skipped, carries dropped and entry states moved, some of them past the folder's end."""
-    day = F.substring("page", 9, 2).cast("int") + F.col("book") % 13
-    moves = day % 5 == 1
-    return t.regions.select("book", "page").distinct().select(
-        "book",
-        "page",
-        (day % 11 == 3).alias("skip"),
-        (day % 6 == 2).alias("discard"),
-        F.when(moves, (F.col("book") % 4 + 1).cast("int")).alias("entry_option"),
-        F.when(moves, F.when(day % 2 == 0, "A").otherwise("B")).alias("entry_part"),
-        F.when(moves, F.col("book") % 6).alias("entry_question"),
-    )
+def _outlined(t: Tables):
+    """Regions with an outline: a box that the id places and sizes."""
+    i = F.col("ord")
+    x, y = i % 500, i * 7 % 700
+    corner = lambda cx, cy: F.struct(cx.alias("x"), cy.alias("y"))
+    right, bottom = x + 20 + i % 90, y + 10 + i % 50
+    return t.regions.withColumn("polygon_px", F.array(corner(x, y), corner(right, y), corner(right, bottom), corner(x, bottom)))
+
+
+#: Ids that drawn regions take, beyond those of the given ones.
+_DRAWN = 10_000_000
+_EDIT_OF = {0: "relabel", 1: "relabel", 2: "read", 3: "join", 4: "offset", 5: "move", 6: "place", 7: "draw", 8: "delete"}
+
+
+def _edits(t: Tables):
+    """A reviewer's log: up to three edits of every fourth region, and now and then a sort, an entry state, a skip or a dropped carry."""
+    i, j = F.col("i"), F.col("j")
+    who = [F.col("user_id").alias("book"), F.date_format("ts", "yyyy-MM-dd").alias("page")]
+    ids = t.events.select(*who, F.col("event_id").alias("i"))
+    each = ids.filter(i % 4 == 1).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(i / 4) % 3)))
+    code = (F.floor(i / 4) + j * 5) % 9
+    code = F.when((code == 7) & (j > 0), 3).when((code == 8) & (j < 2), 5).otherwise(code)
+    names = F.create_map(*[F.lit(x) for pair in _EDIT_OF.items() for x in pair])
+    each = each.withColumn("code", code.cast("int")).withColumn("action", F.try_element_at(names, "code"))
+
+    def by_action(**values):
+        column = F.lit(None)
+        for action, value in values.items():
+            column = F.when(F.col("action") == action, value).otherwise(column)
+        return column
+
+    drawn = (F.floor(i / 4) % 9 == 7).cast("long") * _DRAWN
+    region = each.select(
+        "book", "page", (i * 10 + j).alias("seq"), "action", (i + drawn).alias("ord"),
+        by_action(relabel=F.when(F.col("code") == 0, "question").otherwise("option"), draw=F.when(i % 3 == 0, "option").otherwise("question")).alias("label"),
+        by_action(read=F.when(i % 2 == 0, i % 3 + 1)).cast("int").alias("reading_option"),
+        by_action(read=F.when(i % 2 == 1, F.lit("B"))).alias("reading_part"),
+        F.lit(None).cast("long").alias("question"),
+        by_action(offset=i % 31 - 15, move=i % 41 - 20, draw=i % 600).alias("x"),
+        by_action(offset=i % 17 - 8, move=i % 37 - 18, draw=i % 700).alias("y"),
+        by_action(draw=i % 600 + i % 40 - 3).alias("x1"),
+        by_action(draw=i % 700 + 30 - i % 29).alias("y1"),
+        by_action(place=(i + (i % 7 - 3) * 40).cast("double")).alias("place"),
+    )
+    page = ids.select(
+        "book", "page", "i",
+        F.explode(F.array(
+            F.when(i % 40 == 9, F.lit("sort")), F.when(i % 23 == 3, F.lit("enter")), F.when(i % 61 == 5, F.lit("skip")), F.when(i % 29 == 6, F.lit("discard")),
+        )).alias("action"),
+    ).filter(F.col("action").isNotNull())
+    place = F.array_position(F.array(*map(F.lit, ("sort", "enter", "skip", "discard"))), F.col("action"))
+    enter = F.col("action") == "enter"
+    pages = page.select(
+        "book", "page", (i * 10 + 4 + place).alias("seq"), "action",
+        F.when(enter, i % 4 + 1).cast("int").alias("reading_option"), F.when(enter, F.when(i % 2 == 0, "A").otherwise("B")).alias("reading_part"),
+        F.when(enter, i % 3).alias("question"),
+    )
+    return region.unionByName(pages, allowMissingColumns=True)
+
+
+def _reviewed(t: Tables):
+    return review.reviewed_regions(_outlined(t), _edits(t))
 
 
 def reviewed_rows(t: Tables):
-    regions = numbering.apply_corrections(t.regions, _corrections(t))
-    return numbering.fold_rows(_pages(t), regions, _folders(t), _decisions(t))
+    in_order = _reviewed(t).drop("ord").withColumnRenamed("place", "ord")
+    return numbering.fold_rows(_pages(t), in_order, _folders(t), review.page_decisions(_edits(t)))
+
+
+def reviewed_regions(spark, folder):
+    """Regions as a reviewer's log leaves them: labels, readings, joins, offsets, outlines and order."""
+    ring = F.array_join(F.transform("polygon_px", lambda p: F.format_string("%d,%d", p["x"], p["y"])), " ")
+    return _reviewed(Tables(spark, folder)).withColumn("polygon_px", ring)
+
+
+def page_decisions(spark, folder):
+    return review.page_decisions(_edits(Tables(spark, folder)))
 
 
 def reviewed_books(spark, folder):
-    """Books numbered with a reviewer's corrections and decisions applied."""
+    """Books numbered with a reviewer's edits and decisions applied; pages that would leave a gap are refused."""
     t = Tables(spark, folder)
     return numbering.placements(numbering.number_books(reviewed_rows(t)), _taken(t))
 
 
+def reviewed_layout(spark, folder):
+    """Every placed question's pieces stacked as the reviewer lined them up, carried ones on top."""
+    t = Tables(spark, folder)
+    outcomes = numbering.page_outcomes(numbering.number_books(reviewed_rows(t)))
+    pieces = review.question_pieces(_reviewed(t), outcomes, numbering.carried_into(outcomes))
+    laid = numbering.stack_layout(pieces.withColumn("stack", F.struct("book", "page", "position")))
+    return laid.select("stack.*", F.col("place.page").alias("piece_page"), F.col("place.ord").alias("piece"), "x", "y", "canvas_width", "canvas_height")
+
+
 def drawn_boxes(spark, folder):
     i = F.col("l_orderkey")
     boxes = Tables(spark, folder).read("lineitem").select(
@@ -233,7 +301,10 @@ QUERIES = {
         label_counts,
         ignored_regions,
         corrected_regions,
+        reviewed_regions,
+        page_decisions,
         reviewed_books,
+        reviewed_layout,
         drawn_boxes,
         stack_layout,
         usable_detections,
@@ -307,6 +378,84 @@ _WALK = """ordered AS (SELECT *, substr(page, 9, 2)::INT % 7 <> 0 AS detected,
       FROM outcomes o GROUP BY book)"""
 
 
+#: A reviewer's log, and every region replayed through it edit by edit; then pages row by row, with what each folder holds.
+_EDITED = """ids AS (SELECT user_id AS book, strftime(ts, '%Y-%m-%d') AS page, event_id AS i FROM ev),
+  codes AS (SELECT *, CASE WHEN c = 7 AND j > 0 THEN 3 WHEN c = 8 AND j < 2 THEN 5 ELSE c END AS code
+    FROM (SELECT *, (i // 4 + j * 5) % 9 AS c FROM (SELECT *, unnest(range(i // 4 % 3 + 1)) AS j FROM ids WHERE i % 4 = 1))),
+  edits AS (SELECT book, page, i * 10 + j AS seq, i + CASE WHEN i // 4 % 9 = 7 THEN 10000000 ELSE 0 END AS ord,
+      ['relabel', 'relabel', 'read', 'join', 'offset', 'move', 'place', 'draw', 'delete'][code + 1] AS act,
+      CASE code WHEN 0 THEN 'question' WHEN 1 THEN 'option' WHEN 7 THEN CASE WHEN i % 3 = 0 THEN 'option' ELSE 'question' END END AS lab,
+      CASE WHEN code = 2 AND i % 2 = 0 THEN i % 3 + 1 END AS ro, CASE WHEN code = 2 AND i % 2 = 1 THEN 'B' END AS rp,
+      CASE code WHEN 4 THEN i % 31 - 15 WHEN 5 THEN i % 41 - 20 WHEN 7 THEN i % 600 ELSE 0 END AS x,
+      CASE code WHEN 4 THEN i % 17 - 8 WHEN 5 THEN i % 37 - 18 WHEN 7 THEN i % 700 ELSE 0 END AS y,
+      i % 600 + i % 40 - 3 AS x1, i % 700 + 30 - i % 29 AS y1, (i + (i % 7 - 3) * 40)::DOUBLE AS place FROM codes),
+  sorts AS (SELECT book, page, max(i * 10 + 5) AS s FROM ids WHERE i % 40 = 9 GROUP BY ALL),
+  decisions AS (SELECT book, page, bool_or(i % 61 = 5) AS skip, bool_or(i % 29 = 6) AS discard,
+      (max(i) FILTER (i % 23 = 3) % 4 + 1)::INT AS entry_option, CASE WHEN max(i) FILTER (i % 23 = 3) % 2 = 0 THEN 'A' WHEN max(i) FILTER (i % 23 = 3) % 2 = 1 THEN 'B' END AS entry_part,
+      max(i) FILTER (i % 23 = 3) % 3 AS entry_question FROM ids WHERE i % 23 = 3 OR i % 61 = 5 OR i % 29 = 6 GROUP BY book, page),
+  origins AS (
+    SELECT book, page, ord, -1::BIGINT AS since, label, reading_option AS ro, reading_part AS rp, joins_next AS j, ord % 500 AS l, ord * 7 % 700 AS t,
+      ord % 500 + 20 + ord % 90 AS r, ord * 7 % 700 + 10 + ord % 50 AS b FROM regions
+    UNION ALL SELECT book, page, ord, seq, lab, NULL, NULL, false, least(x, x1), least(y, y1), greatest(x, x1), greatest(y, y1) FROM edits
+      WHERE act = 'draw' AND abs(x1 - x) >= 5 AND abs(y1 - y) >= 5),
+  log AS (SELECT book, page, ord, list({'act': act, 'lab': lab, 'ro': ro::INT, 'rp': rp, 'j': false, 'x': x, 'y': y, 'ox': 0::BIGINT, 'oy': 0::BIGINT,
+      'ex': CASE WHEN seq < s THEN x ELSE 0 END, 'ey': CASE WHEN seq < s THEN y ELSE 0 END,
+      'place': CASE WHEN s IS NULL OR seq > s THEN place END, 'gone': false} ORDER BY seq) AS steps
+    FROM edits LEFT JOIN sorts USING (book, page) WHERE act <> 'draw' GROUP BY ALL),
+  ended AS (SELECT o.*, s, list_reduce(list_prepend({'act': '', 'lab': o.label, 'ro': o.ro::INT, 'rp': o.rp, 'j': o.j AND o.label = 'question', 'x': 0::BIGINT, 'y': 0::BIGINT,
+      'ox': 0::BIGINT, 'oy': 0::BIGINT, 'ex': 0::BIGINT, 'ey': 0::BIGINT, 'place': NULL::DOUBLE, 'gone': false}, coalesce(steps, [])), lambda a, e: {
+        'act': '', 'lab': CASE e.act WHEN 'relabel' THEN e.lab ELSE a.lab END,
+        'ro': CASE e.act WHEN 'read' THEN e.ro WHEN 'relabel' THEN NULL ELSE a.ro END, 'rp': CASE e.act WHEN 'read' THEN e.rp WHEN 'relabel' THEN NULL ELSE a.rp END,
+        'j': CASE WHEN e.act = 'relabel' AND e.lab <> 'question' THEN false WHEN e.act = 'join' AND a.lab = 'question' THEN NOT a.j ELSE a.j END,
+        'x': a.x + CASE e.act WHEN 'move' THEN e.x ELSE 0 END, 'y': a.y + CASE e.act WHEN 'move' THEN e.y ELSE 0 END,
+        'ox': CASE WHEN e.act = 'offset' THEN e.x WHEN e.act = 'relabel' AND e.lab <> 'question' THEN 0 ELSE a.ox END,
+        'oy': CASE WHEN e.act = 'offset' THEN e.y WHEN e.act = 'relabel' AND e.lab <> 'question' THEN 0 ELSE a.oy END,
+        'ex': a.ex + CASE e.act WHEN 'move' THEN e.ex ELSE 0 END, 'ey': a.ey + CASE e.act WHEN 'move' THEN e.ey ELSE 0 END,
+        'place': CASE WHEN e.act = 'place' AND e.place IS NOT NULL THEN e.place ELSE a.place END, 'gone': a.gone OR e.act = 'delete'}) AS z
+    FROM origins o LEFT JOIN log USING (book, page, ord) LEFT JOIN sorts USING (book, page)),
+  reviewed AS (SELECT book, page, ord, z.lab AS label, z.ro AS reading_option, z.rp AS reading_part, z.j AS joins_next, l + z.x AS l, t + z.y AS t, r + z.x AS r, b + z.y AS b,
+      z.ox AS offset_x, z.oy AS offset_y, row_number() OVER (PARTITION BY book, page ORDER BY
+        coalesce(z.place, CASE WHEN s IS NULL THEN ord::DOUBLE WHEN since < s THEN 0 ELSE 'inf'::DOUBLE END),
+        CASE WHEN z.place IS NULL AND since < s THEN t + z.ey ELSE 0 END, CASE WHEN z.place IS NULL AND since < s THEN l + z.ex ELSE 0 END, ord) AS place
+    FROM ended WHERE NOT z.gone)"""
+_REVIEW_WALK = f"""{_EDITED},
+  rows AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, ord) AS rn FROM (
+    SELECT DISTINCT book, page, 0::BIGINT AS ord, 'page' AS label, NULL::INT AS ro, NULL::VARCHAR AS rp, false AS joins,
+      substr(page, 9, 2)::INT % 7 <> 0 AND NOT coalesce(skip, false) AS reads, coalesce(discard, false) AS discard, entry_option, entry_part, entry_question
+      FROM regions LEFT JOIN decisions USING (book, page)
+    UNION ALL SELECT book, page, place, label, reading_option, reading_part, joins_next, NULL, NULL, NULL, NULL, NULL FROM reviewed WHERE label <> 'figure')),
+  walk AS (
+    SELECT DISTINCT book, 0::BIGINT AS rn, ''::VARCHAR AS page, 0::BIGINT AS ord, false AS live, false AS failed, 0 AS o, ''::VARCHAR AS p, 0::BIGINT AS q,
+      0 AS eo, ''::VARCHAR AS ep, 0::BIGINT AS eq, []::VARCHAR[] AS kept, []::VARCHAR[] AS cur, 0 AS placed, false AS hit, []::VARCHAR[] AS got, 0 AS ncarried,
+      list_transform(range(20), lambda n: CASE WHEN n = 0 THEN book % 4 ELSE 0 END) AS highs, list_transform(range(20), lambda n: 0::BIGINT) AS fresh FROM regions
+    UNION ALL
+    SELECT book, rn, page, ord, live1, failed1 OR (closes AND NOT ok),
+      CASE WHEN acc_o THEN ro ELSE o1 END, CASE WHEN acc_o THEN 'A' WHEN acc_p THEN rp ELSE p1 END, CASE WHEN acc_o OR acc_p THEN 0 WHEN ok THEN q1 + 1 ELSE q1 END,
+      eo1, ep1, eq1, CASE WHEN ok THEN [] ELSE kept1 END, CASE WHEN ok THEN [] WHEN isq THEN list_append(cur1, page || '|' || ord::VARCHAR) ELSE cur1 END,
+      placed1 + ok::INT, ok, CASE WHEN ok THEN list_concat(kept1, list_append(cur1, page || '|' || ord::VARCHAR)) ELSE [] END, len(kept1)::INT,
+      highs1, CASE WHEN ok THEN list_transform(fresh1, lambda n, k: CASE WHEN k = folder THEN greatest(n, q1 + 1) ELSE n END) ELSE fresh1 END
+    FROM (
+      SELECT *, live1 AND NOT failed1 AND label = 'option' AND coalesce(ro = o1 + 1, false) AS acc_o, live1 AND NOT failed1 AND label = 'part' AND coalesce(rp <> p1, false) AS acc_p,
+        live1 AND NOT failed1 AND label = 'question' AS isq, live1 AND NOT failed1 AND label = 'question' AND NOT joins AS closes,
+        live1 AND NOT failed1 AND label = 'question' AND NOT joins
+          AND (placed1 > 0 OR (o1 > 0 AND p1 <> '' AND q1 + 1 <= coalesce(highs1[folder], 0) + 1)) AS ok
+      FROM (
+        SELECT *, (o1 - 1) * 2 + CASE p1 WHEN 'B' THEN 2 ELSE 1 END AS folder,
+          CASE WHEN head THEN o1 ELSE weo END AS eo1, CASE WHEN head THEN p1 ELSE wep END AS ep1, CASE WHEN head THEN q1 ELSE weq END AS eq1
+        FROM (
+          SELECT r.book, r.rn, r.page, r.ord, r.label, r.ro, r.rp, r.joins, head, w.eo AS weo, w.ep AS wep, w.eq AS weq,
+            CASE WHEN head THEN r.reads ELSE w.live END AS live1, NOT head AND w.failed AS failed1,
+            CASE WHEN head AND r.reads AND r.entry_option IS NOT NULL THEN r.entry_option WHEN head AND w.live AND w.failed THEN w.eo ELSE w.o END AS o1,
+            CASE WHEN head AND r.reads AND r.entry_option IS NOT NULL THEN r.entry_part WHEN head AND w.live AND w.failed THEN w.ep ELSE w.p END AS p1,
+            CASE WHEN head AND r.reads AND r.entry_option IS NOT NULL THEN r.entry_question WHEN head AND w.live AND w.failed THEN w.eq ELSE w.q END AS q1,
+            CASE WHEN NOT head THEN w.kept WHEN r.reads AND r.discard THEN [] WHEN w.live AND w.failed THEN [] WHEN w.live THEN list_concat(w.kept, w.cur) ELSE w.kept END AS kept1,
+            CASE WHEN head THEN [] ELSE w.cur END AS cur1, CASE WHEN head THEN 0 ELSE w.placed END AS placed1,
+            CASE WHEN head AND w.live AND NOT w.failed THEN list_transform(w.highs, lambda n, k: greatest(n, w.fresh[k])) ELSE w.highs END AS highs1,
+            CASE WHEN head THEN list_transform(w.highs, lambda n: 0::BIGINT) ELSE w.fresh END AS fresh1
+          FROM (SELECT *, label = 'page' AS head FROM rows) r JOIN walk w ON r.book = w.book AND r.rn = w.rn + 1)))),
+  hits AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY ord) - 1 AS position FROM walk WHERE hit)"""
+
+
 def _walk(select: str) -> str:
     return with_views("regions", f"{_WALK} {select}", recursive=True)
 
@@ -359,6 +508,32 @@ SQL = {
              CASE WHEN k % 3 = 0 THEN k % 2 = 0 ELSE joins_next END AND new_label = 'question' AS joins_next
            FROM fixed WHERE k IS NULL OR k % 10 <> 3""",
     ),
+    "reviewed_regions": with_views(
+        "regions",
+        f"""{_EDITED} SELECT * EXCLUDE (l, t, r, b), concat_ws(' ', concat_ws(',', l, t), concat_ws(',', r, t), concat_ws(',', r, b), concat_ws(',', l, b)) AS polygon_px
+            FROM reviewed""",
+    ),
+    "page_decisions": with_views("regions", f"{_EDITED} SELECT * FROM decisions"),
+    "reviewed_books": with_views(
+        "regions",
+        f"""{_REVIEW_WALK} SELECT book::VARCHAR AS book, page, ord, position, o AS option, p AS part, q AS number, len(got) - ncarried AS pieces, ncarried AS carried,
+              CASE WHEN (o = 1 AND p = 'A' AND q <= book % 4) OR row_number() OVER (PARTITION BY book, o, p, q ORDER BY page, ord) > 1
+                THEN 'collision' ELSE 'written' END AS outcome FROM hits""",
+        recursive=True,
+    ),
+    "reviewed_layout": with_views(
+        "regions",
+        f"""{_REVIEW_WALK}, pieces AS (
+              SELECT h.book, h.page, h.position, n, v.page AS piece_page, v.place AS piece, v.r - v.l AS width, v.b - v.t AS height, offset_x AS dx, offset_y AS dy
+              FROM (SELECT book, page, position, unnest(got) AS g, unnest(range(len(got))) AS n FROM hits) h
+              JOIN reviewed v ON v.book = h.book AND v.page || '|' || v.place::VARCHAR = g),
+            run AS (SELECT *, sum(CASE WHEN n > 0 THEN dx ELSE 0 END) OVER w AS rx, sum(height + CASE WHEN n > 0 THEN 16 + dy ELSE 0 END) OVER w - height AS ry FROM pieces
+              WINDOW w AS (PARTITION BY book, page, position ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+            SELECT book::VARCHAR AS book, page, position, piece_page, piece, (rx - min(rx) OVER s)::BIGINT AS x, (ry - min(ry) OVER s)::BIGINT AS y,
+              (max(rx + width) OVER s - min(rx) OVER s)::BIGINT AS canvas_width, (max(ry + height) OVER s - min(ry) OVER s)::BIGINT AS canvas_height
+            FROM run WINDOW s AS (PARTITION BY book, page, position)""",
+        recursive=True,
+    ),
     "drawn_boxes": """
         WITH b AS (SELECT l_orderkey AS box, least(l_partkey, l_partkey + l_linenumber * 3 - 9) + 3 AS x0, greatest(l_partkey, l_partkey + l_linenumber * 3 - 9) + 3 AS x1,
           l_suppkey - trunc(l_quantity)::BIGINT - 2 AS y0, l_suppkey - 2 AS y1 FROM lineitem)
