@@ -7,6 +7,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from paperloom.llm.common import slices, travels
 
 travels(__name__)
 
-#: Pre-tokens, and pieces of them, that a worker remembers before it starts afresh; bounds memory and changes nothing else.
-REMEMBERED = 500_000
+#: What a worker remembers before it starts afresh: bytes of pre-tokens with their ids (EACH is what one costs beside them), and pieces,
+#: none longer than the longest vocabulary entry. Longer pre-tokens than KEPT characters are not remembered beyond their text, and a text
+#: of more than PORTION characters is encoded so many pre-tokens at a time. All of it bounds memory and changes nothing else.
+MEMORY, EACH, REMEMBERED, KEPT, PORTION, AT_A_TIME = 64 << 20, 160, 200_000, 64, 1_000_000, 100_000
 #: Keys per bucket of the perfect hash, on average.
 BUCKET = 2
 
@@ -101,10 +104,11 @@ class Vocabulary:
         self.longest = max(map(len, keys), default=0)
         self.two = self.find_all([bytes((a, b)) for a in range(256) for b in range(256)])
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.pieces: dict[bytes, int] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "pieces": {}}
+        return self.__dict__ | {"known": {}, "held": 0, "pieces": {}}
 
     def find_all(self, tokens: list[bytes]) -> list[int]:
         """The rank of each token, -1 where it is no vocabulary entry."""
@@ -185,21 +189,31 @@ class Vocabulary:
 
 def encoder(vocabulary: Vocabulary, pattern: str):
     """text -> ids as little-endian unsigned 32-bit integers, with one pattern to a vocabulary."""
-    find_words = regex.compile(pattern).findall
+    compiled = regex.compile(pattern)
     known = vocabulary.known
 
-    def encode(text: str) -> bytes:
-        words = find_words(text)
-        distinct = set(words)
-        fresh = list(distinct.difference(known))
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list(distinct)
+    def encode_words(words: list[str]) -> bytes:
+        fresh = list(set(words).difference(known))
         raw = [w.encode() for w in fresh]
         for word, piece, rank in zip(fresh, raw, vocabulary.find_all(raw), strict=True):
             ids = [rank] if rank >= 0 else vocabulary.merge(piece)
             known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([known[w] for w in words])
+        out = b"".join([known[w] for w in words])
+        for word, piece in zip(fresh, raw, strict=True):
+            if len(word) > KEPT:
+                del known[word]
+            else:
+                vocabulary.held += len(piece) + len(known[word]) + EACH
+        if vocabulary.held > MEMORY:
+            known.clear()
+            vocabulary.held = 0
+        return out
+
+    def encode(text: str) -> bytes:
+        if len(text) <= PORTION:
+            return encode_words(compiled.findall(text))
+        found = (m.group() for m in compiled.finditer(text))
+        return b"".join(iter(lambda: encode_words(list(islice(found, AT_A_TIME))), b""))
 
     return encode
 

@@ -60,6 +60,26 @@ def hashed(value: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def each_number(df: DataFrame, low: Column, high: Column, name: str, piece: int = 1 << 16) -> DataFrame:
+    """A row for every whole number from *low* to *high* in the column *name*; none where high is less.
+
+    Numbers are dealt in pieces first, so an array holds at most *piece* numbers, or one for each piece.
+    """
+    begun = df.withColumn("_from", low.cast("long")).withColumn("_upto", high.cast("long")).where("_from <= _upto")
+    parts = begun.withColumn("_from", F.explode(F.sequence(F.col("_from"), F.col("_upto"), F.lit(piece))))
+    return parts.withColumn(name, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (piece - 1), F.col("_upto"))))).drop("_from", "_upto")
+
+
+def each_copy(runs: DataFrame, count: str, name: str, piece: int = 1 << 16) -> DataFrame:
+    """A row for every copy of a run of equal rows, numbered from 0 in *name*. The pieces of a long run go to different tasks."""
+    n, zero = F.col(count), F.lit(0)
+    short = each_number(runs.where(n <= piece), zero, n - 1, name, piece)
+    pieces = each_number(runs.where(n > piece), zero, F.floor((n - 1) / piece), "_piece", piece)
+    dealt = pieces.repartition("_piece", *runs.columns)
+    long = each_number(dealt, F.col("_piece") * piece, F.least((F.col("_piece") + 1) * piece, n) - 1, name, piece).drop("_piece")
+    return short.unionByName(long)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000, measure=pc.binary_length) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that *column* holds about *most* bytes in each; a longer value comes alone."""
     for batch in batches:

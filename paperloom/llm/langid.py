@@ -21,8 +21,10 @@ UNITS = 8
 CORE, EDGE = 96, 16
 #: Windows that are worked on together.
 WINDOWS = 4096
-#: The bound of the training sample: documents of each language, and characters of each, from a place that its hash names.
+#: The bound of the training sample: different texts of each language, and characters of each, from a place that its hash names.
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 2000
+#: Values of the hash that a text's place in the sample is drawn from.
+HASHES = 1 << 40
 #: Training: steps, windows a step, bytes of a window that are labelled.
 STEPS, BATCH, TRAIN_CORE = 200, 128, 32
 #: Documents scored lower are rejected by keep_known: no language stands out at all.
@@ -185,15 +187,23 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> list[tuple[str, bytes]]:
-    """At most SAMPLE_DOCS documents of each language, those with the smallest text hashes, and of each at most SAMPLE_CHARS
-    characters from where the hash points. Held-out documents, null languages and null texts are not in it."""
+    """At most SAMPLE_DOCS different texts of each language, those with the smallest hashes, and of each at most SAMPLE_CHARS
+    characters from where the hash points. Held-out documents, null languages and null texts are not in it.
+
+    Different texts are counted first (one row a language), so that those beyond about twice the sample are dropped where they are
+    read: no task receives more, however large the table.
+    """
     known = docs.where((fold(F.col(id_col)) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    hashed = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    hashed = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    place = F.pmod("h", F.lit(HASHES))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
+    limits = sizes.select(F.col("lang").alias("l"), F.ceil(F.least(F.lit(1.0), 2 * SAMPLE_DOCS / F.col("texts")) * HASHES).alias("limit"))
+    likely = hashed.join(limits, (F.col("lang") == F.col("l")) & (place < F.col("limit")))
     start = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
     piece = F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS))
-    # Ranks of ids and hashes only: the texts are cut before they are ranked.
-    cut = hashed.select("lang", "h", "id", piece.alias("piece")).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    different = likely.select("lang", "h", place.alias("place"), piece.alias("piece")).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))
+    cut = different.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     return [(r.lang, r.piece.encode()) for r in sorted(cut.collect(), key=lambda r: (r.lang, r.rank))]
 
 

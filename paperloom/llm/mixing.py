@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import settle, word_count
+from paperloom.llm.common import each_copy, each_number, settle, word_count
 
 #: Weights of the sources in code-point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -50,13 +50,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
 def positions(docs: DataFrame) -> DataFrame:
     """(source, doc_id, tkey, size, n, start): each source's documents in shuffled order, as runs of equal rows.
 
-    start is the first word's position in its source. Order: md5 of the id, then the id, then the text's hash. A source is
-    ordered in pieces by the leading digits of that md5, so the largest one is never in one task.
+    start is the first word's position in its source. Order: md5 of the id, or of the text's hash where that is null, then the id,
+    then the text's hash. A source is ordered in pieces by the leading digits of that md5, so the largest one is never in one task.
     """
     runs = settle(
         docs.groupBy("source", "doc_id", "tkey", "size")
         .agg(F.count("*").alias("n"))
-        .withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        .withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("tkey").cast("string"), F.lit("")).cast("binary")))
         .withColumn("piece", (F.conv(F.substring("order", 1, 3), 16, 10)).cast("int"))
     )
     held = F.sum(F.col("size") * F.col("n"))
@@ -87,6 +87,8 @@ def schedule(quotas: DataFrame) -> DataFrame:
         .select(
             "source",
             "blocks",
+            (F.row_number().over(ordered) - 1).alias("place"),
+            F.count("*").over(Window.partitionBy(F.lit(0))).alias("many"),
             F.floor((F.col("upto") - F.col("blocks")) / total * CIRCLE).cast("long").alias("low"),
             F.floor(F.col("upto") / total * CIRCLE).cast("long").alias("high"),
         )
@@ -96,7 +98,9 @@ def schedule(quotas: DataFrame) -> DataFrame:
     by_cell = arcs.where("high > low").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("high") - 1) / cell)))
     )
-    points = spark.range(turns).select(F.col("id").alias("turn"), (F.col("id") % CIRCLE * GOLDEN % CIRCLE).alias("point"))
+    # The product modulo CIRCLE by halves: as a whole it does not fit into a long.
+    high, low = F.floor(F.col("id") % CIRCLE / 65536), F.col("id") % 65536
+    points = spark.range(turns).select(F.col("id").alias("turn"), ((high * GOLDEN % CIRCLE * 65536 + low * GOLDEN) % CIRCLE).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / cell))
     owned = settle(
         points.join(by_cell, "cell")
@@ -117,12 +121,9 @@ def schedule(quotas: DataFrame) -> DataFrame:
         .drop("blocks")
     )
     reached = owned.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("reached"))
-    late = (
-        arcs.join(reached, F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("reached", F.coalesce("reached", F.lit(0)))
-        .where("reached < blocks")
-        .select("source", F.explode(F.sequence("reached", F.col("blocks") - 1)).alias("block"))
-        .select((F.lit(turns) + F.col("block")).alias("turn"), "source", "block")
+    waiting = arcs.join(reached, F.col("source").eqNullSafe(F.col("s")), "left")
+    late = each_number(waiting, F.coalesce("reached", F.lit(0)), F.col("blocks") - 1, "block").select(
+        (F.lit(turns) + F.col("block") * F.col("many") + F.col("place")).alias("turn"), "source", "block"
     )
     return ranked.unionByName(late)
 
@@ -138,14 +139,16 @@ def mix_parts(placed: DataFrame, goals: DataFrame, block_words: int = BLOCK_WORD
     turns = schedule(quotas.select("source", "blocks"))
     goal = quotas.select(F.col("source").alias("s"), "source_size", "quota")
     length = F.col("size") * F.col("n")
-    spread = (
+    runs = (
         placed.where("size > 0")
         .join(goal, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
         .withColumn("low", F.col("start") + F.col("epoch") * F.col("source_size"))
         .where("low < quota")
         .withColumn("high", F.least(F.col("low") + length, F.col("quota")))
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block_words), F.floor((F.col("high") - 1) / block_words))))
+    )
+    spread = (
+        each_number(runs, F.floor(F.col("low") / block_words), F.floor((F.col("high") - 1) / block_words), "block")
         .withColumn("first", F.greatest(F.col("low"), F.col("block") * block_words))
         .withColumn("last", F.least(F.col("high"), (F.col("block") + 1) * block_words))
         .drop("s", "low", "high", "source_size", "quota")
@@ -171,12 +174,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, epochs
     used = used.withColumnRenamed("source", "us").withColumnRenamed("start", "ustart")
     goals = goals.withColumnRenamed("source", "gs")
     share = F.floor(F.col("words") / F.col("n")) + F.when(F.col("copy") < F.col("words") % F.col("n"), 1).otherwise(0)
-    return (
+    runs = (
         placed.join(goals, F.col("source").eqNullSafe(F.col("gs")))
         .join(used, F.col("source").eqNullSafe(F.col("us")) & (F.col("start") == F.col("ustart")) & (F.col("size") > 0), "left")
         .withColumn("words", F.coalesce("words", F.lit(0)))
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        .select("doc_id", "source", "tkey", "size", "source_size", "target", share.cast("long").alias("taken"), "first_turn")
+        .select("doc_id", "source", "tkey", "size", "n", "source_size", "target", "words", "first_turn")
+    )
+    return each_copy(runs, "n", "copy").select("doc_id", "source", "tkey", "size", "source_size", "target", share.cast("long").alias("taken"), "first_turn"
     )
 
 
@@ -200,12 +204,12 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WOR
 
 def op5(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(sized(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_turn")
 
 
 QUERIES = {"op5_low_discrepancy_mix": op5}
 
-#: Sums whole rounds and the rest in closed form instead of walking the blocks of the schedule.
+#: taken sums whole rounds and the rest in closed form; the schedule is walked for the turn in which a document first comes up.
 SQL = {
     "op5_low_discrepancy_mix": """
 WITH d AS (
@@ -225,9 +229,25 @@ p AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
 q AS (
-  SELECT p.doc_id, p.size, p.start, g.source_size, g.target, least(round(g.target)::BIGINT, 3 * g.source_size) AS quota
-  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source)
+  SELECT p.doc_id, p.source, p.size, p.start, g.source_size, g.target, least(round(g.target)::BIGINT, 3 * g.source_size) AS quota
+  FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source),
+b AS (SELECT DISTINCT source, ceil(quota / 1024)::BIGINT AS blocks FROM q WHERE quota > 0),
+arcs AS (
+  SELECT source, blocks, row_number() OVER w - 1 AS place, count(*) OVER () AS many,
+    floor((sum(blocks) OVER w - blocks)::DOUBLE / sum(blocks) OVER () * 4294967296) AS low,
+    floor((sum(blocks) OVER w)::DOUBLE / sum(blocks) OVER () * 4294967296) AS high FROM b
+  WINDOW w AS (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+turns AS (SELECT t AS turn, (t::HUGEINT * 2654435769 % 4294967296)::DOUBLE AS point FROM (SELECT unnest(range((SELECT sum(blocks) FROM b)::BIGINT)) AS t)),
+owned AS (
+  SELECT turn, source, blocks, row_number() OVER (PARTITION BY source ORDER BY turn) - 1 AS block
+  FROM turns JOIN arcs ON point >= low AND point < high),
+late AS (
+  SELECT (SELECT count(*) FROM turns) + block * many + place AS turn, source, block FROM (
+    SELECT source, many, place, unnest(range(coalesce((SELECT count(*) FROM owned o WHERE o.source IS NOT DISTINCT FROM arcs.source), 0), blocks)) AS block FROM arcs)),
+y AS (SELECT turn, source, block FROM owned WHERE block < blocks UNION ALL SELECT turn, source, block FROM late)
 SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE
-    quota // source_size * size + least(size, greatest(0, quota % source_size - start)) END)::BIGINT AS taken FROM q
+    quota // source_size * size + least(size, greatest(0, quota % source_size - start)) END)::BIGINT AS taken,
+  y.turn::BIGINT AS first_turn
+FROM q LEFT JOIN y ON y.source IS NOT DISTINCT FROM q.source AND y.block = start // 1024 AND size > 0 AND start < quota
 """
 }

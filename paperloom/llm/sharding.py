@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import hashed, settle
+from paperloom.llm.common import each_copy, hashed, settle
 
 #: Slots never change in number; only their shard does. A map has this many rows whatever the data.
 SLOTS = 8192
@@ -17,6 +17,11 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return (hashed(key) % slots).cast("int")
 
 
+def spread_key(key: Column, text_hash: Column) -> Column:
+    """The key that decides a record's slot: its id, or where that is null its text, so that null ids share no slot."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("~"), text_hash.cast("string")))
+
+
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(vslot, bytes) for every slot, empty ones included, from records with vslot and size."""
     held = records.groupBy("vslot").agg(F.sum("size").alias("bytes"))
@@ -90,10 +95,12 @@ def balanced_map(records: DataFrame, shards: int, slots: int = SLOTS) -> tuple[D
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """Documents with vslot, version and shard, placed by the stored map.
 
-    Size: UTF-8 bytes of the text plus 8; a null text has no bytes. A null id counts as empty text. Repeated rows and
+    Size: UTF-8 bytes of the text plus 8; a null text has no bytes. Where the id is null the text decides. Repeated rows and
     rows that share an id go to one slot. Columns of these names in the input are replaced. An empty table stays empty.
     """
-    sized = docs.drop("vslot", "version", "shard").withColumn("vslot", slot_of(F.col(id_col), slots))
+    sized = docs.drop("vslot", "version", "shard").withColumn(
+        "vslot", slot_of(spread_key(F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), slots)
+    )
     records = sized.select("vslot", (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"))
     stored, _ = balanced_map(records, shards, slots)
     latest = stored.where("version = 2")
@@ -112,7 +119,7 @@ def shard_digest(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
     runs = settle(
-        thin.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("vslot", slot_of(F.col("doc_id")))
+        thin.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("vslot", slot_of(spread_key(F.col("doc_id"), F.col("text_crc32"))))
     )
     stored, _ = balanced_map(runs.select("vslot", (F.col("size") * F.col("n")).alias("size")), shards)
     latest = stored.where("version = 2")
@@ -125,13 +132,13 @@ def shard_digest(docs: DataFrame, shards: int = 24) -> DataFrame:
         .join(offsets.drop("rows"), "vslot")
         .withColumn("first", F.col("before") + F.col("inside"))
     )
-    return placed.select(
+    return each_copy(placed, "n", "copy").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"),
+        (F.col("first") + F.col("copy")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "vslot",
     )
@@ -150,10 +157,10 @@ WITH RECURSIVE poly AS (
     FROM (SELECT unnest(range(256))::BIGINT AS b))),
 runs AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 8192)::INT AS vslot,
     xor(list_reduce(list_prepend(4294967295::BIGINT,
       list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~' || text_crc32)), 1, 8))::BIGINT % 8192)::INT AS vslot
   FROM documents, poly),
 sizes AS (SELECT vslot, sum(size)::BIGINT AS bytes, count(*) AS n FROM runs GROUP BY vslot),
 held AS (

@@ -49,13 +49,27 @@ def test_ids_are_those_of_the_public_library(vocabulary, encoding):
 
 
 def test_memory_started_afresh_changes_nothing(vocabulary, encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    for name, value in {"REMEMBERED": 40, "MEMORY": 9000, "KEPT": 5, "PORTION": 700, "AT_A_TIME": 30}.items():
+        monkeypatch.setattr(bpe, name, value)
     fresh = bpe.Vocabulary(vocabulary.keys)
     encode, text = bpe.encoder(fresh, public_tokenizers.PATTERN), sentence(random.Random(2), 3000)
     for part in (text[:5000], text):
         assert np.frombuffer(encode(part), "<u4").tolist() == encoding.encode_ordinary(part)
 
 
+def test_memory_does_not_grow_with_the_texts(vocabulary, monkeypatch):
+    fresh = bpe.Vocabulary(vocabulary.keys)
+    encode, rng = bpe.encoder(fresh, public_tokenizers.PATTERN), random.Random(3)
+    for _ in range(3):
+        encode("".join(rng.choices("abcdefgh", k=10_000)))
+    assert not fresh.known and fresh.held == 0
+    monkeypatch.setattr(bpe, "MEMORY", 1 << 20)
+    for _ in range(6):
+        encode(" ".join("".join(rng.choices("abcdefghijklmnop", k=12)) for _ in range(2000)))
+        assert sum(len(w) + len(ids) + bpe.EACH for w, ids in fresh.known.items()) <= bpe.MEMORY
+    assert len(fresh.pieces) <= bpe.REMEMBERED and max(map(len, fresh.pieces)) <= fresh.longest
+
+
 def test_a_vocabulary_without_some_bytes():
     small = bpe.Vocabulary([b"a", b"b", b"ab", b"abab"])
     assert small.merge(b"ababab") == [3, 2] and small.find_all([b"ab", b"x"]) == [2, -1]

@@ -83,3 +83,10 @@ def test_sample_is_bounded_and_holds_no_held_out_document(spark, monkeypatch):
     assert len(sample) == 10 and all(len(s.decode()) <= langid.SAMPLE_CHARS for _, s in sample)
     assert all(any(s.decode() in t for t in open_texts if t) for _, s in sample)
     assert {s.decode() for _, s in sample} - (held - open_texts) == {s.decode() for _, s in sample}
+
+
+def test_repeated_texts_are_sampled_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 300)
+    rows = [(i, "the same text" if i % 2 else f"text {i}", "en", *[None] * 6) for i in range(3000)]
+    sample = langid.training_sample(spark.createDataFrame(rows, DOCUMENTS))
+    assert len(sample) == len(set(sample)) == 300

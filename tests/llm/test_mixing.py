@@ -85,3 +85,25 @@ def test_empty_table_and_no_words(spark):
     assert mixing.mix(mixing.sized(empty)).count() == 0 and mixing.mix_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, None, *[None] * 7), (2, " ", *[None] * 7)], DOCUMENTS)
     assert [(r.taken, r.target) for r in mixing.mix(mixing.sized(blank)).collect()] == [(0, 0.0)] * 2
+
+
+def test_long_runs_of_equal_rows(spark):
+    rows = spark.range(200_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "'s' AS source", "'a b c' AS text")
+    other = spark.range(3000).selectExpr("CAST(NULL AS bigint) AS doc_id", "IF(id % 2 = 0, 's', 't') AS source", "CONCAT('text ', id) AS text")
+    got = mixing.mix(mixing.sized(rows.unionByName(other)), block_words=4)
+    sums = {r.source: r for r in got.groupBy("source").agg({"*": "count", "size": "sum", "taken": "sum", "target": "max"}).collect()}
+    assert {s: r["count(1)"] for s, r in sums.items()} == {"s": 201_500, "t": 1500}
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in sums.values())
+
+
+def test_points_of_late_turns_do_not_overflow(spark):
+    t = 2**32 - 5
+    high, low = t // 65536, t % 65536
+    assert (high * mixing.GOLDEN % mixing.CIRCLE * 65536 + low * mixing.GOLDEN) % mixing.CIRCLE == t * mixing.GOLDEN % mixing.CIRCLE
+    assert max(high * mixing.GOLDEN, mixing.CIRCLE * 65536 + low * mixing.GOLDEN) < 2**63
+
+
+def test_turns_differ_where_several_sources_are_late(spark):
+    quotas = {"a": 100_000, "b": 3, "c": 2, None: 1}
+    got = mixing.schedule(spark.createDataFrame(list(quotas.items()), "source string, blocks long")).collect()
+    assert len({r.turn for r in got}) == len(got) == sum(quotas.values())

@@ -44,3 +44,13 @@ def test_documents_keep_their_columns(spark):
     got = sharding.shard_documents(docs, 5)
     assert got.count() == docs.count() and set(docs.columns) <= set(got.columns) and {r.shard for r in got.collect()} <= set(range(5))
     assert sharding.shard_documents(docs.limit(0), 5).count() == 0 and sharding.shard_digest(docs.limit(0)).count() == 0
+
+
+def test_long_runs_and_null_ids(spark):
+    """More equal rows than a piece holds, and many null ids with different texts, which share no slot."""
+    run = spark.range(300_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "CAST(NULL AS string) AS text")
+    texts = spark.range(5000).selectExpr("CAST(NULL AS bigint) AS doc_id", "CONCAT('text ', id) AS text")
+    got = sharding.shard_digest(run.unionByName(texts)).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 305_000 and all(r["max(slot)"] == r["count(1)"] - 1 for r in got)
+    slots = sharding.shard_digest(texts).groupBy("vslot").count().collect()
+    assert len(slots) > 3000 and max(r["count"] for r in slots) < 12
