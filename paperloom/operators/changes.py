@@ -39,8 +39,8 @@ def add_by_key(existing: DataFrame, new: DataFrame, key: list[str], id_column: s
     """
     fresh = last_offers(new, key, [c for c in existing.columns if c not in (id_column, *key)])
     fresh = fresh.join(existing.select(*key), key, "left_anti")
-    top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("m")).first()["m"]
-    ranked = running(fresh, [], key, rank="_rank").withColumn(id_column, F.col("_rank") + F.lit(top))
+    top = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("m")).scalar()
+    ranked = running(fresh, [], key, rank="_rank").withColumn(id_column, F.col("_rank") + top)
     return existing.unionByName(ranked.select(*existing.columns))
 
 

@@ -1,8 +1,8 @@
 """Numbering: labelled page regions become (option, part, number), book by book.
 
 The rule is sequential: an option marker counts only when it is the next option, so what a marker does
-depends on everything before it. A book is therefore folded in page order. Small books are folded whole,
-many at a time. A book too large for one task is folded in segments: each segment is first summed up as
+depends on everything before it. A book is therefore folded in page order. Most books are folded whole,
+many at a time. A book that holds much of the table is folded in segments: each segment is first summed up as
 a table "entered in this state, it leaves in that one", the tables of a book are chained (one short row
 per segment), and then every segment is folded from the state it is really entered in.
 """
@@ -19,7 +19,7 @@ from paperloom.functions.text import natural_sort_key
 from paperloom.operators import fold
 from paperloom.operators.fold import FOLDED, NO_DETECTIONS, DISCARDED, STATE, SUMMARY
 from paperloom.operators.fold import FOLDED_NAMES, FOLDER_STEP, HEADER_STEP, INPUT, REGION_STEP, STATE_STEP
-from paperloom.plans.ordered import _SLICE, group_limit, largest_group, running, sliced
+from paperloom.plans.ordered import _SLICE, running, sliced
 from paperloom.plans.session import cut_lineage
 
 # Sent to the workers with the job, so a cluster needs no copy of the package.
@@ -236,42 +236,35 @@ def fold_rows(pages: DataFrame, regions: DataFrame, folders: DataFrame | None =
 _WITHIN = ("page_key", "page", "_step", "ord")
 
 
-def number_books(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def number_books(rows: DataFrame) -> DataFrame:
     """Fold books into question and page rows (see ``FOLDED``).
 
-    The fold is the costly step and every report reads it, so it is written once and read from there.
+    Books are folded whole, many at a time, but for those that hold much of the table (``ordered.sliced``): these are cut at page
+    boundaries, and again where a reviewer moved the numbering. Their segments are summed up as tables from entry state to exit state,
+    the tables of a book are chained, and the segments are folded from the states they are really entered in, in the same pass as the
+    other books: one plan, whatever the sizes. The fold is the costly step and every report reads it, so it is written once and read
+    from there.
     """
-    limit = group_limit(rows) if limit is None else limit
-    if largest_group(rows, ["book"]) <= limit:
-        spread = rows.repartition("book").sortWithinPartitions("book", "_seg", *_WITHIN)
-        return cut_lineage(spread.mapInArrow(fold.fold_books, FOLDED))
-    return cut_lineage(_number_in_segments(rows))
-
-
-def _number_in_segments(rows: DataFrame) -> DataFrame:
-    # Cut on page boundaries, and again where a reviewer moved the numbering.
-    cut = sliced(rows, ["book"], ["page_key", "page"])
+    hot = sliced(rows, ["book"], ["page_key", "page"], "inner")
     moves = (F.col("_step") == HEADER_STEP) & F.col("entry_option").isNotNull() & F.col("detected") & ~F.col("skip")
-    top, ahead = exam.OPTIONS_PER_BOOK, bool(rows.agg(F.bool_or(moves).alias("moved")).first()["moved"])
-    step = F.lit(0)
-    if ahead:
-        by = W.partitionBy("book", _SLICE).orderBy(*_WITHIN).rowsBetween(W.unboundedPreceding, W.currentRow)
-        step = F.sum(moves.cast("long")).over(by)
-    numbered = cut.withColumn("_seg", F.col(_SLICE).cast("long") * F.lit(2**32) + step).select(*INPUT)
+    by = W.partitionBy("book", _SLICE).orderBy(*_WITHIN).rowsBetween(W.unboundedPreceding, W.currentRow)
+    segment = (F.col(_SLICE) + 1).cast("long") * F.lit(2**32) + F.sum(moves.cast("long")).over(by)
+    cut = hot.withColumn("_seg", segment).select(*INPUT)
+    whole = sliced(rows, ["book"], ["page_key", "page"], "left_anti").withColumn("_seg", F.lit(0).cast("long")).select(*INPUT)
+
     ordered = ["book", "_seg", *_WITHIN]
-    spread = numbered.repartition("book", "_seg").sortWithinPartitions(*ordered)
-    summaries = spread.mapInArrow(fold.sum_up_segments(top, ahead), SUMMARY)
+    summaries = cut.repartition("book", "_seg").sortWithinPartitions(*ordered).mapInArrow(fold.sum_up_segments(exam.OPTIONS_PER_BOOK, True), SUMMARY)
     # One short row per segment: a book has at most as many as there are slices and reviewer moves.
     chained = summaries.repartition("book").sortWithinPartitions("book", "_seg")
-    states = cut_lineage(chained.mapInArrow(fold.chain_segments(top), STATE))
+    states = chained.mapInArrow(fold.chain_segments(exam.OPTIONS_PER_BOOK), STATE)
     marked = states.select(
         "book", "_seg", "_state", F.lit(STATE_STEP).alias("_step"), F.lit("").alias("page_key"), F.lit("").alias("page"),
     )
-    both = numbered.unionByName(marked, allowMissingColumns=True).withColumns(
-        {n: F.coalesce(F.col(n), F.lit(False)) for n in ("skip", "discard", "joins_next", "detected")}
-    )
-    both = both.withColumn("ord", F.coalesce("ord", F.lit(-1).cast("long"))).select(*INPUT)
-    return both.repartition("book", "_seg").sortWithinPartitions(*ordered).mapInArrow(fold.fold_books, FOLDED)
+    every = whole.unionByName(cut).unionByName(marked, allowMissingColumns=True)
+    every = every.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in ("skip", "discard", "joins_next", "detected")})
+    every = every.withColumn("ord", F.coalesce("ord", F.lit(-1).cast("long"))).select(*INPUT)
+    folded = every.repartition("book", "_seg").sortWithinPartitions(*ordered).mapInArrow(fold.fold_books, FOLDED)
+    return cut_lineage(folded)
 
 
 # ---- reading the fold --------------------------------------------------------

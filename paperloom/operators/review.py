@@ -8,11 +8,13 @@ two things only, the label a toggle meets and the place of a page's last sort, a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry
 from paperloom.operators.numbering import drawn_boxes, moved, piece_groups
 from paperloom.plans.ordered import running
+from paperloom.plans.session import cut_lineage
 
 #: The columns of a log. What each action reads beside book, page and seq:
 #: ``draw`` ord label x y x1 y1 (a region of its own, corners in either order), ``move`` ord x y (added to the outline),
@@ -48,14 +50,16 @@ def _histories(regions: DataFrame, edits: DataFrame) -> DataFrame:
     given = regions.withColumns({"seq": F.lit(-1).cast("long"), "action": F.lit("read in"), "polygon_px": F.col("polygon_px").cast(POLYGON)})
     touch = edits.filter(F.col("action").isin("move", "relabel", "read", "join", "offset", "place", "delete")).drop("x1", "y1", "question")
     rows = given.unionByName(drawn, allowMissingColumns=True).unionByName(touch, allowMissingColumns=True)
+    # A window per region, over what its reviewer did to it.
+    so_far = W.partitionBy(*_REGION).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     origin = F.col("action").isin(*ORIGINS)
-    begun = running(rows, _REGION, ["seq"], sums={"_origins": origin.cast("long")})
+    begun = rows.withColumn("_origins", F.sum(origin.cast("long")).over(so_far))
     # Edits of what does not exist (yet) and a second origin of the same region count for nothing.
     live = begun.filter((F.col("_origins") == 1) | ((F.col("_origins") > 1) & ~origin))
     named = F.when(origin | (F.col("action") == "relabel"), F.col("label"))
-    labelled = running(live, _REGION, ["seq"], lasts={"_label": named})
+    labelled = live.withColumn("_label", F.last(named, ignorenulls=True).over(so_far))
     toggles = ((F.col("action") == "join") & (F.col("_label") == "question")).cast("long")
-    return running(labelled, _REGION, ["seq"], sums={"_toggles": toggles})
+    return labelled.withColumn("_toggles", F.sum(toggles).over(so_far))
 
 
 def _last(value: Column, when: Column) -> Column:
@@ -70,6 +74,8 @@ def reviewed_regions(regions: DataFrame, edits: DataFrame) -> DataFrame:
     unless it is a question now, its join and offset. ``place`` puts a region among the others by its number, which is ``ord`` at
     first. A page's last ``sort`` takes all regions there at place 0, in the reading order of their outlines then; what is drawn later
     stands behind. Edits of regions that do not exist, and joins of what is no question, do nothing.
+
+    The result is written once: both the fold and the layout read it.
     """
     sorts = edits.filter("action = 'sort'").groupBy(*_PAGE).agg(F.max("seq").alias("_sorted"))
     rows = _histories(regions, edits).join(sorts, _PAGE, "left")
@@ -117,7 +123,7 @@ def reviewed_regions(regions: DataFrame, edits: DataFrame) -> DataFrame:
         F.coalesce(F.when(by_reading, geometry.min_y(then)), zero).alias("_top"),
         F.coalesce(F.when(by_reading, geometry.min_x(then)), zero).alias("_left"),
     )
-    return running(keyed, _PAGE, ["_place", "_top", "_left", "ord"], rank="place").drop("_place", "_top", "_left")
+    return cut_lineage(running(keyed, _PAGE, ["_place", "_top", "_left", "ord"], rank="place").drop("_place", "_top", "_left"))
 
 
 def question_pieces(regions: DataFrame, outcomes: DataFrame, carried: DataFrame) -> DataFrame:
@@ -140,4 +146,4 @@ def question_pieces(regions: DataFrame, outcomes: DataFrame, carried: DataFrame)
     size = ["width", "height", "dx", "dy"]
     own = pieces.filter("pieces > 0").select("book", "page", "position", placed, *size)
     handed = pieces.filter("pieces = 0").join(into, ["book", "page"]).select("book", F.col("into").alias("page"), F.lit(0).cast("long").alias("position"), placed, *size)
-    return own.unionByName(handed)
+    return cut_lineage(own.unionByName(handed))

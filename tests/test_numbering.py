@@ -5,9 +5,19 @@ import random
 import pytest
 
 from paperloom.operators import numbering as nb
+from paperloom.plans import ordered
 from paperloom.workload import numbering as work
 from paperloom.workload.views import Tables
 
+CUT = {"HOT": 1, "THIN": 1, "PER_PARTITION": 400}  # every book is cut where a row of it is sampled
+WHOLE = {"HOT": 10**9}
+
+
+def sizes(monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(ordered, name, value)
+
+
 REGIONS = "book string, page string, ord long, label string, reading_option int, reading_part string, joins_next boolean"
 DECISIONS = "book string, page string, skip boolean, discard boolean, entry_option int, entry_part string, entry_question long"
 
@@ -119,9 +129,10 @@ def frames(spark, books):
     )
 
 
-@pytest.mark.parametrize("limit", [10**9, 0], ids=["whole", "segments"])
-def test_fold_follows_the_rules(spark, books, limit):
-    folded = nb.number_books(nb.fold_rows(*frames(spark, books)), limit=limit).collect()
+@pytest.mark.parametrize("settings", [WHOLE, CUT], ids=["whole", "segments"])
+def test_fold_follows_the_rules(spark, books, settings, monkeypatch):
+    sizes(monkeypatch, settings)
+    folded = nb.number_books(nb.fold_rows(*frames(spark, books))).collect()
     got_pages = {(r.book, r.page): r for r in folded if r.kind == "page"}
     placed = {}
     for r in sorted((r for r in folded if r.kind == "question"), key=lambda r: r.position):
@@ -137,15 +148,16 @@ def test_fold_follows_the_rules(spark, books, limit):
             assert (row.exit_option, row.exit_part, row.exit_question) == state
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_odd_readings_fold_alike_whole_and_in_segments(spark, limit):
+@pytest.mark.parametrize("settings", [WHOLE, CUT], ids=["whole", "segments"])
+def test_odd_readings_fold_alike_whole_and_in_segments(spark, settings, monkeypatch):
+    sizes(monkeypatch, settings)
     pages = spark.createDataFrame([("b", f"{n:03d}.jpg", True) for n in range(1, 7)], "book string, page string, detected boolean")
     odd = [("option", 100_001, None), ("part", None, "C"), ("question", None, None), ("part", None, "B"), ("question", None, None)]
     plain = [("option", 1, None), ("part", None, None), ("question", None, None), ("part", None, "B"), ("question", None, None)]
     outcomes = []
     for readings in (odd, plain):
         made = [("b", f"{n:03d}.jpg", i, *r, False) for n in range(1, 7) for i, r in enumerate(readings)]
-        folded = nb.number_books(nb.fold_rows(pages, spark.createDataFrame(made, REGIONS)), limit=limit)
+        folded = nb.number_books(nb.fold_rows(pages, spark.createDataFrame(made, REGIONS)))
         outcomes.append(sorted(map(str, folded.collect())))
     assert outcomes[0] == outcomes[1]
 
@@ -192,9 +204,12 @@ def test_faults(spark):
 
 
 @pytest.mark.parametrize("reviewed", [False, True])
-def test_segments_agree_on_the_tables(spark, small, reviewed):
+def test_segments_agree_on_the_tables(spark, small, reviewed, monkeypatch):
     t = Tables(spark, small)
     rows = work.reviewed_rows(t) if reviewed else nb.fold_rows(work._pages(t), t.regions, work._folders(t))
-    whole = sorted(map(str, nb.number_books(rows, limit=10**9).collect()))
-    parts = sorted(map(str, nb.number_books(rows, limit=0).collect()))
-    assert whole == parts and whole
+    found = []
+    for settings in (WHOLE, CUT):
+        sizes(monkeypatch, settings)
+        found.append(sorted(map(str, nb.number_books(rows).collect())))
+    assert found[0] == found[1] and found[0]
+

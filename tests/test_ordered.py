@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import assess, corpus, numbering
-from paperloom.plans.ordered import GROUP_LIMIT_CONF, running, top_of_group
+from paperloom.plans import ordered
+from paperloom.plans.ordered import running, top_of_group
 from paperloom.workload.views import Tables
 
 
@@ -19,23 +20,50 @@ def columns():
     return {"rank": "r", "sums": {"s": F.col("v")}, "lasts": {"l": F.col("v")}, "lags": {"g": F.col("v")}}
 
 
-@pytest.mark.parametrize("keys", [["key"], []])
-def test_slices_equal_windows(skewed, keys):
-    from paperloom.plans.ordered import _windowed
+def plain(df, keys, order):
+    from pyspark.sql import Window as W
 
-    c = columns()
-    whole = _windowed(skewed, keys, ["place"], c["rank"], c["sums"], c["lasts"], c["lags"])
-    parts = running(skewed, keys, ["place"], **c, limit=0)
-    assert sorted(map(str, whole.select("key", "place", "r", "s", "l", "g").collect())) == sorted(
-        map(str, parts.select("key", "place", "r", "s", "l", "g").collect())
-    )
+    by = W.partitionBy(*keys).orderBy(*order)
+    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    v = F.col("v")
+    return df.withColumns({"r": F.row_number().over(by), "s": F.sum(v).over(so_far), "l": F.last(v, True).over(so_far), "g": F.lag(v).over(by)})
 
 
-def test_limit_decides(skewed):
-    plain = running(skewed, ["key"], ["place"], rank="r")
-    assert "_rows_before" not in plain._jdf.queryExecution().analyzed().toString()
-    cut = running(skewed, ["key"], ["place"], rank="r", limit=500)
-    assert "_rows_before" in cut._jdf.queryExecution().analyzed().toString()
+def rows_of(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+@pytest.mark.parametrize("keys", [["key"], [], ["key", "other"]])
+@pytest.mark.parametrize("order", [["place"], ["text", "place"], ["pair"]])
+def test_slices_equal_windows(skewed, keys, order):
+    """Order by numbers, texts and structs with nulls among them; the null key and the hot one count like others."""
+    text = F.when(F.col("place") % 7 != 0, F.concat(F.lit("page "), F.col("place") % 5))
+    rows = skewed.withColumns({"other": F.col("v") % 2, "text": text, "pair": F.struct(text.alias("t"), "place")})
+    assert rows_of(running(rows, keys, order, **columns())) == rows_of(plain(rows, keys, order))
+
+
+def test_only_hot_keys_are_cut(skewed):
+    cut = ordered.sliced(skewed, ["key"], ["place"])
+    slices = {r.key: r.n for r in cut.groupBy("key").agg(F.count_distinct("_slice").alias("n")).collect()}
+    assert slices["hot"] > 5 and slices["5"] == 1
+    largest = cut.filter("key = 'hot'").groupBy("_slice").count().agg(F.max("count")).first()[0]
+    assert largest < 400 and cut.count() == 3000
+    hot, cold = (ordered.sliced(skewed, ["key"], ["place"], how) for how in ("inner", "left_anti"))
+    assert hot.count() + cold.count() == 3000 and {r.key for r in hot.select("key").distinct().collect()} >= {"hot"}
+
+
+def test_empty_and_single_rows(skewed):
+    for rows in (skewed.filter("false"), skewed.filter("place = 3")):
+        assert rows_of(running(rows, ["key"], ["place"], **columns())) == rows_of(plain(rows, ["key"], ["place"]))
+        assert rows_of(running(rows, [], ["place"], **columns())) == rows_of(plain(rows, [], ["place"]))
+
+
+def test_building_starts_no_job(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    running(skewed, ["key"], ["place"], **columns())
+    running(skewed, [], ["place"], rank="r")
+    assert set(tracker.getJobIdsForGroup()) == before
 
 
 def test_top_of_group_limits_before_the_shuffle(skewed):
@@ -45,8 +73,8 @@ def test_top_of_group_limits_before_the_shuffle(skewed):
 
 
 @pytest.mark.parametrize("operator", ["claims", "pages", "pieces", "layout", "playlist"])
-def test_operators_in_slices(spark, small, operator):
-    """The operators themselves, with every group over the limit."""
+def test_operators_in_slices(spark, small, operator, monkeypatch):
+    """The operators themselves, with every key cut wherever a row of it is sampled, and with none."""
     t = Tables(spark, small)
     pieces = t.replies.select(
         F.col("session_id").alias("stack"), F.struct("line", "question_id", "supplier", "price", "time_spent_seconds").alias("place"),
@@ -60,14 +88,11 @@ def test_operators_in_slices(spark, small, operator):
         "layout": lambda: numbering.stack_layout(pieces),
         "playlist": lambda: assess.playlist(t.questions),
     }[operator]
-    whole = made()
-    expected = sorted(map(str, whole.select(sorted(whole.columns)).collect()))
-    spark.conf.set(GROUP_LIMIT_CONF, "0")
-    try:
-        cut = made()
-        assert sorted(map(str, cut.select(sorted(cut.columns)).collect())) == expected
-    finally:
-        spark.conf.unset(GROUP_LIMIT_CONF)
+    monkeypatch.setattr(ordered, "HOT", 10**9)
+    whole = rows_of(made())
+    for name, value in {"HOT": 1, "THIN": 1, "PER_PARTITION": 400}.items():
+        monkeypatch.setattr(ordered, name, value)
+    assert rows_of(made()) == whole and whole
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):

@@ -29,7 +29,7 @@ def check_plan(plan: str) -> None:
     for line in plan.splitlines():
         if "Window " in line:
             spec = re.search(r"windowspecdefinition\(([^()]*(?:\([^()]*\)[^()]*)*)\)", line)
-            assert "_rows" in line or not (spec and re.match(r"\s*\w*_slice#", spec.group(1))), line
+            assert "_rows" in line or not (spec and re.match(r"\s*\w+#\d+L? (ASC|DESC)", spec.group(1))), line
 
 
 @pytest.mark.parametrize("name", NAMES)
