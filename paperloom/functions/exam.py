@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import unicode_trim, whole_number
+from paperloom.functions.text import integer_text, unicode_trim
 
 # Fixed values of the corpus.
 OPTIONS_PER_BOOK = 10
@@ -51,9 +51,9 @@ def fold_option(raw: Column) -> Column:
 
 
 def option_of_text(marker_text: Column) -> Column:
-    """The folded option number a marker's first digit run names."""
+    """The folded option number a marker's first digit run names, however long: its last digit, 0 standing for ten."""
     digits = F.try_element_at(F.regexp_extract_all(marker_text, F.lit(r"(\d+)")), F.lit(1))
-    return fold_option(digits.try_cast("long")).cast("int")
+    return fold_option(F.right(digits, F.lit(1)).try_cast("int")).cast("int")
 
 
 def exam_type(year: Column, option: Column) -> Column:
@@ -85,13 +85,13 @@ def answer_matches(part: Column, key: Column, reply: Column, spellings: Column |
     """
     said = unicode_trim(reply)
     spellings = accepted_spellings(key) if spellings is None else spellings
-    by_number = whole_number(said) == whole_number(unicode_trim(key))
+    by_number = integer_text(said) == integer_text(unicode_trim(key))
     return F.coalesce(F.when(part == "A", by_number).otherwise(F.array_contains(spellings, said)), F.lit(False))
 
 
 def reply_reject_reason(part: Column, key: Column, reply: Column) -> Column:
     """Why a reply could not be judged: a keyed Part A question answered with no integer."""
-    unreadable = whole_number(unicode_trim(reply)).isNull()
+    unreadable = integer_text(unicode_trim(reply)).isNull()
     return F.when((part == "A") & key.isNotNull() & unreadable, "not an integer")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import whole_number
+from paperloom.functions.text import integer_text, whole_number
 
 # File suffixes that count as images, and the corpus naming rules.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff")
@@ -51,15 +51,21 @@ def page_subject_year(path: Column) -> Column:
 
 
 def sheet_year_number(sheet_stem: Column) -> Column:
-    """``struct(year, sheet)`` of ``2016`` or ``2016_2``; a prefix match, sheet 1 when unnamed."""
+    """``struct(year, sheet)`` of ``2016`` or ``2016_2``; a prefix match, sheet 1 when unnamed, null when no long holds its number."""
     year = whole_number(F.regexp_extract(sheet_stem, r"^(\d{4})", 1), "int")
-    sheet = whole_number(F.regexp_extract(sheet_stem, r"^\d{4}_(\d+)", 1), "int")
-    return F.when(year.isNotNull(), F.struct(year.alias("year"), F.coalesce(sheet, F.lit(1)).alias("sheet")))
+    named = F.regexp_extract(sheet_stem, r"^\d{4}_(\d+)", 1)
+    sheet = F.when(named == "", F.lit(1).cast("long")).otherwise(named.try_cast("long"))
+    return F.when(year.isNotNull(), F.struct(year.alias("year"), sheet.alias("sheet")))
+
+
+def question_digits(path: Column) -> Column:
+    """The number an image file is named by, as text of any length without leading zeros; null for any other name."""
+    return F.when(is_image(path), integer_text(F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+\z", 1)))
 
 
 def question_number(path: Column) -> Column:
-    """The number an image file is named by, null for any other name."""
-    return F.when(is_image(path), whole_number(F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+$", 1)))
+    """The number an image file is named by; null for any other name and where no long holds it (see :func:`question_digits`)."""
+    return question_digits(path).try_cast("long")
 
 
 def question_path(year_dir: Column, option: Column, part: Column, number: Column, fmt: Column) -> Column:

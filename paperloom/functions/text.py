@@ -39,6 +39,16 @@ def whole_number(c: Column, kind: str = "long") -> Column:
     return F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast(kind))
 
 
+def integer_text(c: Column) -> Column:
+    """The integer a text spells, of any length, in one spelling (no plus, no leading zeros); null for any other text.
+
+    Equal integers have equal texts, where :func:`whole_number` is null beyond what its kind can hold.
+    """
+    digits = F.ltrim(c, F.lit("+-0"))
+    sign = F.when(c.startswith("-"), "-").otherwise("")
+    return F.when(c.rlike(r"^[+-]?\d+\z"), F.when(digits == "", "0").otherwise(F.concat(sign, digits)))
+
+
 def natural_sort_key(stem: Column) -> Column:
     """A string whose plain order compares digit runs as numbers and the rest lower-cased.
 
@@ -68,10 +78,16 @@ def natural_order(name: Column) -> list[Column]:
 
 
 def question_key(raw: Column) -> Column:
-    """``struct(part, number)`` of a typed key such as `` а12 ``, null when it is no key."""
+    """``struct(part, number, digits)`` of a typed key such as `` а12 ``, null when it is no key.
+
+    digits is the number's text, of any length; number is null where a long cannot hold it.
+    """
     folded = F.translate(F.upper(unicode_trim(raw)), PART_LETTERS_CYRILLIC, PART_LETTERS_LATIN)
-    number = whole_number(F.regexp_extract(folded, r"^[AB](\d+)$", 1))
-    return F.when(number.isNotNull(), F.struct(F.substring(folded, 1, 1).alias("part"), number.alias("number")))
+    digits = integer_text(F.regexp_extract(folded, r"^[AB](\d+)\z", 1))
+    return F.when(
+        digits.isNotNull(),
+        F.struct(F.substring(folded, 1, 1).alias("part"), digits.try_cast("long").alias("number"), digits.alias("digits")),
+    )
 
 
 def question_key_text(part: Column, number: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import exam
-from paperloom.functions.text import display_answer, unicode_trim, whole_number
+from paperloom.functions.text import display_answer, integer_text, unicode_trim
 from paperloom.plans.ordered import running
 
 
@@ -33,11 +33,11 @@ def score_answers(replies: DataFrame, questions: DataFrame) -> DataFrame:
         "part",
         "question_number",
         answer.alias("correct_answer"),
-        F.when(F.col("part") == "A", whole_number(unicode_trim(answer))).alias("_number"),
+        F.when(F.col("part") == "A", integer_text(unicode_trim(answer))).alias("_number"),
         F.when(F.col("part") == "B", exam.accepted_spellings(answer)).alias("_spellings"),
     )
     said = replies.withColumn("student_answer", unicode_trim(F.col("student_answer")))
-    said = said.withColumn("_said_number", whole_number(F.col("student_answer")))
+    said = said.withColumn("_said_number", integer_text(F.col("student_answer")))
     is_a = F.col("part") == "A"
     right = F.when(is_a, F.col("_said_number") == F.col("_number")).otherwise(
         F.array_contains("_spellings", F.col("student_answer"))

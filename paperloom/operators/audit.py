@@ -88,7 +88,8 @@ def key_differences(documents: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def pictured_keys(images: DataFrame) -> DataFrame:
-    return images.select("subject", "year", question_key_text(F.upper("part"), F.col("number")).alias("key")).distinct()
+    number = F.col("digits" if "digits" in images.columns else "number")
+    return images.select("subject", "year", question_key_text(F.upper("part"), number).alias("key")).distinct()
 
 
 def validate_years(years: DataFrame, documents: DataFrame, images: DataFrame) -> DataFrame:

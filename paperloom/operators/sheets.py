@@ -26,7 +26,7 @@ def normalise_answers(answers: DataFrame) -> DataFrame:
     """
     option = exam.fold_option(text.whole_number(text.unicode_trim(F.col("raw_option")))).cast("int")
     key = text.question_key(F.col("raw_label"))
-    fault = F.when(option.isNull(), "invalid option").when(key.isNull(), "invalid question label")
+    fault = F.when(option.isNull(), "invalid option").when(key.isNull(), "invalid question label").when(key["number"].isNull(), "question number out of range")
     return answers.select(
         "subject", "year", "sheet", "place", option.alias("option"), key["part"].alias("part"), key["number"].alias("number"),
         text.answer_script(F.col("raw_answer")).alias("answer"), fault.alias("fault"),

@@ -47,12 +47,16 @@ def book_pages(manifest: DataFrame, variant: str, subject: str | None = None) ->
 
 
 def question_images(manifest: DataFrame) -> DataFrame:
-    """Numbered images at ``{subject}/{year}/{option}/{part}/{n}.ext``, whatever the folders are called."""
+    """Numbered images at ``{subject}/{year}/{option}/{part}/{n}.ext``, whatever the folders are called.
+
+    ``digits`` is the number's text; ``number`` is null for one that no long holds, which no stored question can have.
+    """
     parts = F.split("object_key", "/")
-    number = paths.question_number(F.col("object_key"))
-    return manifest.filter((F.size(parts) == 5) & number.isNotNull()).select(
+    digits = paths.question_digits(F.col("object_key"))
+    return manifest.filter((F.size(parts) == 5) & digits.isNotNull()).select(
         *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("subject", "year", "option", "part"))],
-        number.alias("number"),
+        digits.try_cast("long").alias("number"),
+        digits.alias("digits"),
         *manifest.columns,
     )
 
@@ -66,4 +70,4 @@ def seedable_images(images: DataFrame) -> DataFrame:
     numbered = images.filter(digits & F.col("part").isin(*exam.PARTS)).withColumns(
         {name: whole_number(F.col(name), "int") for name in ("year", "option")}
     )
-    return numbered.filter("year IS NOT NULL AND option IS NOT NULL")
+    return numbered.filter("year IS NOT NULL AND option IS NOT NULL AND number IS NOT NULL")

@@ -59,7 +59,7 @@ def question_tree(spark, folder):
     year = F.when(i % 40 == 7, "misc").otherwise((F.floor(i / 250) % 7 + 2018).cast("string"))
     option = F.concat((i % 10 + 1).cast("string"), F.when(i % 50 == 13, "a").otherwise(""))
     part = F.when(F.col("p_size") % 3 == 0, "B").when(F.col("p_size") % 25 == 1, "a").otherwise("A")
-    stem = F.concat(F.when(i % 30 == 11, "n").otherwise(""), (F.floor(i / 10) % 25 + 1).cast("string"))
+    stem = F.concat(F.when(i % 30 == 11, "n").otherwise(""), (F.floor(i / 10) % 25 + 1).cast("string"), F.when(i % 300 == 200, "9" * 20).otherwise(""))
     suffix = F.when(i % 20 == 5, "txt").when(i % 2 == 0, "png").otherwise("JPG")
     subject = F.concat(F.lit("subject"), (F.floor(i / 1750)).cast("string"))
     return Tables(spark, folder).read("part").select(
@@ -200,14 +200,15 @@ QUESTION_TREE_SQL = r"""tree AS (SELECT 'subject' || (p_partkey // 1750)::VARCHA
     || CASE WHEN p_partkey % 40 = 7 THEN 'misc' ELSE ((p_partkey // 250) % 7 + 2018)::VARCHAR END || '/'
     || (p_partkey % 10 + 1)::VARCHAR || CASE WHEN p_partkey % 50 = 13 THEN 'a' ELSE '' END || '/'
     || CASE WHEN p_size % 3 = 0 THEN 'B' WHEN p_size % 25 = 1 THEN 'a' ELSE 'A' END || '/'
-    || CASE WHEN p_partkey % 30 = 11 THEN 'n' ELSE '' END || ((p_partkey // 10) % 25 + 1)::VARCHAR || '.'
+    || CASE WHEN p_partkey % 30 = 11 THEN 'n' ELSE '' END || ((p_partkey // 10) % 25 + 1)::VARCHAR
+    || CASE WHEN p_partkey % 300 = 200 THEN repeat('9', 20) ELSE '' END || '.'
     || CASE WHEN p_partkey % 20 = 5 THEN 'txt' WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'JPG' END AS object_key FROM part),
   tree_images AS (SELECT split_part(object_key, '/', 1) AS subject, split_part(object_key, '/', 2) AS year,
     split_part(object_key, '/', 3) AS option, split_part(object_key, '/', 4) AS part,
-    regexp_extract(object_key, '/(\d+)\.[^./]+$', 1)::INT AS number, object_key
+    try_cast(regexp_extract(object_key, '/(\d+)\.[^./]+$', 1) AS BIGINT) AS number, regexp_extract(object_key, '/(\d+)\.[^./]+$', 1) AS digits, object_key
     FROM tree WHERE regexp_matches(object_key, '/\d+\.(png|JPG)$')),
   seedable AS (SELECT * REPLACE (year::INT AS year, option::INT AS option) FROM tree_images
-    WHERE regexp_matches(year, '^\d+$') AND regexp_matches(option, '^\d+$') AND part IN ('A', 'B'))"""
+    WHERE regexp_matches(year, '^\d+$') AND regexp_matches(option, '^\d+$') AND part IN ('A', 'B') AND number IS NOT NULL)"""
 _SIDES = """d AS (SELECT doc_id, source || '/' || lang || '/' || doc_id::VARCHAR || '.jpg' AS object_key, sha256(text) AS h FROM documents),
   stored AS (SELECT object_key, CASE WHEN doc_id % 11 = 0 THEN reverse(h) ELSE h END AS h FROM d WHERE doc_id % 7 <> 0),
   found AS (SELECT object_key, h FROM d WHERE doc_id % 13 <> 0)"""

@@ -30,13 +30,14 @@ def subject_names(spark, folder):
 def typed_keys(spark, folder):
     """Question keys as people type them: either script, stray spaces, broken ones."""
     forms = F.array(*[F.lit(f) for f in ("A", " а", "\u00a0В", "b", "C", "", "B-", "A1B")])
-    raw = F.concat(F.element_at(forms, (F.col("p_partkey") % 8 + 1).cast("int")), F.col("p_size").cast("string"), F.lit(" \t"))
+    long = F.when(F.col("p_partkey") % 40 == 1, "0" * 3 + "7" * 20).otherwise("")
+    raw = F.concat(F.element_at(forms, (F.col("p_partkey") % 8 + 1).cast("int")), long, F.col("p_size").cast("string"), F.lit(" \t"))
     key = text.question_key(raw)
     return Tables(spark, folder).read("part").select(
         "p_partkey",
         key["part"].alias("part"),
         key["number"].alias("number"),
-        text.question_key_text(key["part"], key["number"]).alias("normal_form"),
+        text.question_key_text(key["part"], key["digits"]).alias("normal_form"),
     )
 
 
@@ -54,7 +55,7 @@ def marker_readings(spark, folder):
     forms = F.array(*[F.lit(f) for f in ("Часть А", "часть б", "ЧАСТЬ В", "Part B", "ЧАСТЬ", "Вариант", "x")])
     marker = F.concat(
         F.element_at(forms, (F.col("event_id") % 7 + 1).cast("int")), F.lit(" "),
-        F.when(F.col("k") % 4 != 0, F.concat(F.col("k").cast("string"), F.lit(" / 9"))).otherwise(""),
+        F.when(F.col("k") % 4 != 0, F.concat(F.when(F.col("k") % 9 == 2, "8" * 25).otherwise(""), F.col("k").cast("string"), F.lit(" / 9"))).otherwise(""),
     )
     return Tables(spark, folder).events.select(
         "event_id", text.part_letter(marker).alias("part"), exam.option_of_text(marker).alias("option_number")
@@ -82,8 +83,8 @@ def page_paths(spark, folder):
 
 
 def sheet_stems(spark, folder):
-    forms = F.array(*[F.lit(f) for f in ("2016", "2017_2", "2018_x", "x2019", "20201_3", "_2021")])
-    stem = F.concat(F.element_at(forms, (F.col("doc_id") % 6 + 1).cast("int")), F.when(F.col("doc_id") % 5 == 0, "_7").otherwise(""))
+    forms = F.array(*[F.lit(f) for f in ("2016", "2017_2", "2018_x", "x2019", "20201_3", "_2021", "2016_3000000000", "2016_" + "9" * 20)])
+    stem = F.concat(F.element_at(forms, (F.col("doc_id") % 8 + 1).cast("int")), F.when(F.col("doc_id") % 5 == 0, "_7").otherwise(""))
     parsed = paths.sheet_year_number(stem)
     return Tables(spark, folder).read("documents").select(
         "doc_id", parsed["year"].alias("year"), parsed["sheet"].alias("sheet")
@@ -158,17 +159,17 @@ SQL = {
           [doc_id % 7 + 1] AS subject FROM documents""",
     "typed_keys": f"""
         WITH raw AS (SELECT p_partkey, ['A', ' а', chr(160) || 'В', 'b', 'C', '', 'B-', 'A1B'][p_partkey % 8 + 1]
-            || p_size::VARCHAR || ' ' || chr(9) AS r FROM part),
+            || CASE WHEN p_partkey % 40 = 1 THEN '000' || repeat('7', 20) ELSE '' END || p_size::VARCHAR || ' ' || chr(9) AS r FROM part),
         folded AS (SELECT p_partkey, translate(upper(trim(r, {_SPACES})), 'АВ', 'AB') AS f FROM raw)
-        SELECT p_partkey, CASE WHEN ok THEN substr(f, 1, 1) END AS part, CASE WHEN ok THEN substr(f, 2)::BIGINT END AS number,
-          CASE WHEN ok THEN f END AS normal_form
+        SELECT p_partkey, CASE WHEN ok THEN substr(f, 1, 1) END AS part, CASE WHEN ok THEN try_cast(substr(f, 2) AS BIGINT) END AS number,
+          CASE WHEN ok THEN substr(f, 1, 1) || ltrim(substr(f, 2), '0') END AS normal_form
         FROM (SELECT *, regexp_matches(f, '^[AB][0-9]+$') AS ok FROM folded)""",
     "answer_scripts": "SELECT doc_id, md5(translate(text, 'ABCEHKMOPTXYF', 'АВСЕНКМОРТХУГ')) AS folded FROM documents",
     "trimmed_texts": f"""SELECT doc_id, md5(trim(text, {_SPACES})) AS trimmed FROM documents""",
     "marker_readings": with_views(
         "ev",
         """m AS (SELECT event_id, ['Часть А', 'часть б', 'ЧАСТЬ В', 'Part B', 'ЧАСТЬ', 'Вариант', 'x'][event_id % 7 + 1]
-             || ' ' || CASE WHEN k % 4 <> 0 THEN k::VARCHAR || ' / 9' ELSE '' END AS t, k FROM ev),
+             || ' ' || CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 9 = 2 THEN repeat('8', 25) ELSE '' END || k::VARCHAR || ' / 9' ELSE '' END AS t, k FROM ev),
            f AS (SELECT *, translate(replace(upper(t), 'ЧАСТЬ', ''), 'АБВ', 'ABB') AS u FROM m)
            SELECT event_id, CASE WHEN contains(u, 'A') THEN 'A' WHEN contains(u, 'B') THEN 'B' END AS part,
              CASE WHEN k % 4 <> 0 THEN ((k - 1) % 10 + 10) % 10 + 1 END AS option_number FROM f""",
@@ -190,11 +191,12 @@ SQL = {
           CASE WHEN path LIKE 'books/%' THEN substr(path, 7) END AS key_in_books
         FROM w""",
     "sheet_stems": """
-        WITH s AS (SELECT doc_id, ['2016', '2017_2', '2018_x', 'x2019', '20201_3', '_2021'][doc_id % 6 + 1]
+        WITH s AS (SELECT doc_id, ['2016', '2017_2', '2018_x', 'x2019', '20201_3', '_2021', '2016_3000000000', '2016_' || repeat('9', 20)][doc_id % 8 + 1]
           || CASE WHEN doc_id % 5 = 0 THEN '_7' ELSE '' END AS stem FROM documents)
         SELECT doc_id, try_cast(nullif(regexp_extract(stem, '^(\\d{4})', 1), '') AS INT) AS year,
           CASE WHEN regexp_matches(stem, '^\\d{4}')
-               THEN coalesce(try_cast(nullif(regexp_extract(stem, '^\\d{4}_(\\d+)', 1), '') AS INT), 1) END AS sheet FROM s""",
+               THEN CASE WHEN regexp_matches(stem, '^\\d{4}_\\d') THEN try_cast(regexp_extract(stem, '^\\d{4}_(\\d+)', 1) AS BIGINT) ELSE 1 END
+          END AS sheet FROM s""",
     "folder_order": """
         SELECT name, coalesce(try_cast(name AS BIGINT), 2147483648) AS numeric_place FROM (
           SELECT DISTINCT (p_partkey % 97)::VARCHAR || CASE WHEN p_partkey % 5 = 0 THEN 'a' ELSE '' END AS name FROM part)
