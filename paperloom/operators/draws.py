@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperloom.functions.exam import seeded_hash, seeded_number
-from paperloom.plans.ordered import running
+
+#: Bits below the digit that a selection counts by, level by level.
+DIGITS = (42, 21, 0)
+#: Hex digits of a seeded hash that a split counts by.
+CELL_DIGITS = 4
 
 
 def draw_one(candidates: DataFrame, keys: list[str], seed: str) -> DataFrame:
@@ -19,11 +24,27 @@ def draw_one(candidates: DataFrame, keys: list[str], seed: str) -> DataFrame:
 
 
 def kth_of_group(candidates: DataFrame, keys: list[str], seed: str) -> DataFrame:
-    """Count the group, then take the question at a seeded offset in id order."""
-    ranked = running(candidates, keys, ["question_id"], rank="k")
+    """Count the group, then take the question at a seeded offset in id order.
+
+    Found digit by digit: the ids of a group are counted by their leading bits, the block that holds the wanted place is kept, and its
+    ids are counted by the next bits. Counts combine before the shuffle, so no group is ever ranked.
+    """
     counts = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     wanted = counts.withColumn("k", 1 + F.pmod(seeded_number(seed, *[F.col(c) for c in keys]), F.col("n")))
-    return ranked.join(wanted, [*keys, "k"]).select(*keys, "n", "k", "question_id")
+    found = wanted.withColumns({"_left": F.col("k"), "_at": F.lit(0).cast("long")})
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    for shift, above in zip(DIGITS, (64, *DIGITS)):
+        rows = candidates.select(*names, F.shiftright("question_id", shift).alias("_digit"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        if above < 64:
+            same.append(F.col("_at") == F.shiftright("_digit", above - shift))
+        blocks = found.join(rows, same).groupBy(*keys, "n", "k", "_left", "_digit").agg(F.count(F.lit(1)).alias("_rows"))
+        so_far = W.partitionBy(*keys).orderBy("_digit").rowsBetween(W.unboundedPreceding, W.currentRow)
+        upto = blocks.withColumn("_upto", F.sum("_rows").over(so_far))
+        held = upto.filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_rows") < F.col("_left")))
+        left = F.col("_left") - (F.col("_upto") - F.col("_rows"))
+        found = held.select(*keys, "n", "k", left.alias("_left"), F.col("_digit").alias("_at"))
+    return found.select(*keys, "n", "k", F.col("_at").alias("question_id"))
 
 
 def choose_for_round(wishes: DataFrame, by_topic: DataFrame, by_part: DataFrame) -> DataFrame:
@@ -60,14 +81,25 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 def split_dataset(names: DataFrame, key: str, train: float, seed: str) -> DataFrame:
     """Train, val and test cut from a seeded order.
 
-    train = int(n * s), val = int(n * (0.6 * (1 - s))), rest test; doubles as written.
+    train = int(n * s), val = int(n * (0.6 * (1 - s))), rest test; doubles as written. Rows are counted by the leading digits of their
+    hash, which tells for all but two of these cells on which side of the cuts they lie; only the rows of those two are ranked.
     """
-    hashed = names.withColumn("_hash", seeded_hash(seed, F.col(key)))
-    ranked = running(hashed, [], ["_hash", key], rank="_rank")
-    n = names.count()
-    train_n = int(n * train)
-    val_n = int(n * (0.6 * (1 - train)))
-    split = (
-        F.when(F.col("_rank") <= train_n, "train").when(F.col("_rank") <= train_n + val_n, "val").otherwise("test")
+    hashed = names.withColumn("_hash", seeded_hash(seed, F.col(key))).withColumn("_cell", F.substring("_hash", 1, CELL_DIGITS))
+    counts = hashed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))  # at most 16 ** CELL_DIGITS rows
+    so_far = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = W.partitionBy(F.lit(0))
+    sized = counts.withColumns({"_upto": F.sum("_rows").over(so_far), "_n": F.sum("_rows").over(every)})
+    first = F.floor(F.col("_n") * F.lit(train))
+    second = first + F.floor(F.col("_n") * F.lit(0.6 * (1 - train)))
+    cells = sized.select(
+        F.col("_cell").alias("_c"), (F.col("_upto") - F.col("_rows")).alias("_before"), "_upto", first.alias("_first"), second.alias("_second")
     )
-    return ranked.withColumn("split", split).drop("_rank", "_hash")
+    placed = hashed.join(F.broadcast(cells), F.col("_cell") == F.col("_c"))
+    cut = F.lit(False)
+    for at in ("_first", "_second"):
+        cut = cut | ((F.col("_before") < F.col(at)) & (F.col(at) < F.col("_upto")))
+    clear = placed.filter(~cut).withColumn("_rank", F.col("_before") + 1)
+    inside = F.row_number().over(W.partitionBy("_cell").orderBy("_hash", key))
+    ranked = placed.filter(cut).withColumn("_rank", F.col("_before") + inside)
+    split = F.when(F.col("_rank") <= F.col("_first"), "train").when(F.col("_rank") <= F.col("_second"), "val").otherwise("test")
+    return clear.unionByName(ranked).select(*names.columns, split.alias("split"))
