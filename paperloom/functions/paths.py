@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +82,11 @@ def object_key(root: str, path: Column) -> Column:
     return F.when(clean.startswith(clean_root), F.substring(clean, len(clean_root) + 1, 2**31 - 1))
 
 
+def local_root(root: str) -> str:
+    """A folder as paths below it are compared: without the scheme of the local file system."""
+    return re.sub(r"^file:/+", "/", root)
+
+
 def page_name(number: Column, fmt: Column) -> Column:
     """Three-digit page name; longer numbers keep all their digits."""
     return F.format_string("%03d.%s", number, fmt)

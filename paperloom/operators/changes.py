@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom import schemas
+from paperloom.functions import exam
 from paperloom.plans.ordered import running
 from paperloom.plans.session import cut_lineage
 
@@ -132,6 +133,41 @@ def load_year(
     return {**tables, "books": books, "options": options, "questions": questions, "images": stored.drop("changed")}
 
 
+def refused_years(images: DataFrame) -> DataFrame:
+    """(subject_id, year_value) of the years that hold a row the stored tables would not take."""
+    part_a = (F.col("part") == "A") & F.col("answer").isNotNull()
+    allowed = (
+        F.col("option").between(1, exam.OPTIONS_PER_BOOK)
+        & F.col("exam_type").isin(*exam.EXAM_TYPES)
+        & F.col("part").isin(*exam.PARTS)
+        & (F.col("number") > 0)
+        & (~part_a | F.col("answer").rlike(exam.PART_A_KEY_PATTERN))
+    )
+    return images.filter(~F.coalesce(allowed, F.lit(False))).select("subject_id", "year_value").distinct()
+
+
+def load_years(images: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The load of all years at once: books, options, questions and images as they stand afterwards, and the years ``refused``.
+
+    *images* holds (subject_id, year_value, option, exam_type, part, number, answer, object_key, content_hash), and ``offer`` where one
+    question comes several times: the last counts. A year is taken whole or not at all. Each level of ids is handed out in one pass
+    over all years and written, as the next one refers to it.
+    """
+    order = [OFFER] if OFFER in images.columns else []
+    refused = cut_lineage(refused_years(images))
+    year = ["subject_id", "year_value"]
+    taken = images.join(refused, year, "left_anti")
+    books = cut_lineage(create_books(tables["books"], taken.select(*year).distinct()))
+    rows = taken.join(books.select(*year, "book_id"), year).withColumnsRenamed({"option": "option_number", "number": "question_number"})
+    options = cut_lineage(upsert_options(tables["options"], rows.select("book_id", "option_number", "exam_type", *order)))
+    rows = rows.drop("exam_type").join(options.select("option_id", "book_id", "option_number"), ["book_id", "option_number"])
+    key = ["option_id", "part", "question_number"]
+    questions = cut_lineage(upsert_questions(tables["questions"], rows.select(*key, "answer", *order)))
+    keyed = rows.join(questions.select("question_id", *key), key)
+    stored = upsert_images(tables["images"], keyed.select("question_id", "object_key", "content_hash", *order))
+    return {**tables, "books": books, "options": options, "questions": questions, "images": stored.drop("changed"), "refused": refused}
+
+
 def write_years(df: DataFrame, root: str, partition: list[str]) -> None:
     """Replace the partitions *df* holds and no others: a year is swapped whole or not at all."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -18,7 +18,7 @@ def read_documents(spark: SparkSession, root: str, name: str) -> DataFrame:
     # The metadata column holds a URL: spaces and letters beyond ASCII come encoded, a plus sign does not.
     encoded = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/")
     path = F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
-    return files.select(paths.object_key(root, path).alias("object_key"), F.col("value").alias("document"))
+    return files.select(paths.object_key(paths.local_root(root), path).alias("object_key"), F.col("value").alias("document"))
 
 
 def answer_rows(documents: DataFrame, document: str = "document") -> DataFrame:

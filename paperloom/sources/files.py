@@ -31,7 +31,7 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 def _keyed(files: DataFrame, root: str) -> DataFrame:
     # Paths come back as URIs; drop the scheme so they compare with the root as given.
     path = F.regexp_replace("path", r"^file:/+", "/")
-    return files.withColumn("object_key", paths.object_key(root, path))
+    return files.withColumn("object_key", paths.object_key(paths.local_root(root), path))
 
 
 def book_pages(manifest: DataFrame, variant: str, subject: str | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ MODULES = (
     "changes",
     "quality",
     "streams",
+    "stored",
 )
 
 

@@ -112,6 +112,35 @@ def deletable_options(spark, folder):
     return changes.deletable(delete_options_plan(spark, folder))
 
 
+def _years(t: Tables):
+    """A year's images for every part: six years of five subjects, some there already; now and then a key no table takes."""
+    i = F.col("p_partkey")
+    part = F.when(F.col("p_size") % 3 == 0, "B").otherwise("A")
+    return t.read("part").select(
+        (i % 5).alias("subject_id"),
+        (F.floor(i / 5) % 6 + 2018).cast("int").alias("year_value"),
+        (F.floor(i / 30) % 10 + 1).cast("int").alias("option"),
+        F.when(F.floor(i / 30) % 2 == 0, "CE").otherwise("CT").alias("exam_type"),
+        part.alias("part"),
+        (F.floor(i / 300) + 1).cast("int").alias("number"),
+        F.when(i % 37 == 5, None).when(i % 411 == 17, "0").when(part == "B", F.col("p_type")).otherwise((i % 5 + 1).cast("string")).alias("answer"),
+        F.concat(F.lit("y/"), i.cast("string"), F.lit(".png")).alias("object_key"),
+        F.md5("p_name").alias("content_hash"),
+    )
+
+
+def year_loads(spark, folder):
+    """The questions of all loaded years with the ids and images they have afterwards."""
+    t = Tables(spark, folder)
+    after = changes.load_years(_years(t), {"books": t.books.drop("subject_name"), "options": t.options, "questions": t.questions, "images": t.images})
+    where = after["options"].join(after["books"], "book_id")
+    asked = after["questions"].join(where, "option_id").join(after["images"], "question_id", "left")
+    return asked.select(
+        "subject_id", "year_value", "book_id", "option_id", "option_number", "exam_type", "question_id", "part", "question_number", "answer",
+        "object_key", "content_hash", "telegram_file_id",
+    )
+
+
 def _manifest(spark, folder, salt: int):
     i = F.col("doc_id")
     docs = Tables(spark, folder).read("documents").filter(i % (7 + salt) != 0)
@@ -163,6 +192,7 @@ QUERIES = {
         delete_plan,
         delete_options_plan,
         deletable_options,
+        year_loads,
         manifest_diff,
         recalled_answers,
         missing_recorded,
@@ -258,6 +288,35 @@ SQL = {
         f"""{_OPTION_DELETES}, told AS (SELECT *, bool_or(action = 'blocked') OVER (PARTITION BY root) AS held FROM plan)
             SELECT * EXCLUDE (held) FROM told WHERE NOT held""",
     ),
+    "year_loads": with_views(
+        "books options questions images",
+        """offered AS (SELECT p_partkey % 5 AS subject_id, (p_partkey // 5) % 6 + 2018 AS year_value, (p_partkey // 30) % 10 + 1 AS option_number,
+             CASE WHEN (p_partkey // 30) % 2 = 0 THEN 'CE' ELSE 'CT' END AS exam_type, CASE WHEN p_size % 3 = 0 THEN 'B' ELSE 'A' END AS part,
+             p_partkey // 300 + 1 AS question_number, CASE WHEN p_partkey % 37 = 5 THEN NULL WHEN p_partkey % 411 = 17 THEN '0' WHEN p_size % 3 = 0 THEN p_type
+               ELSE (p_partkey % 5 + 1)::VARCHAR END AS answer, 'y/' || p_partkey::VARCHAR || '.png' AS object_key, md5(p_name) AS content_hash FROM part),
+           bad AS (SELECT DISTINCT subject_id, year_value FROM offered WHERE part = 'A' AND answer = '0'),
+           loaded AS (SELECT o.* FROM offered o WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.subject_id = o.subject_id AND b.year_value = o.year_value)),
+           all_books AS (SELECT book_id, subject_id, year_value FROM books UNION ALL
+             SELECT (SELECT max(book_id) FROM books) + row_number() OVER (ORDER BY subject_id, year_value), subject_id, year_value
+             FROM (SELECT DISTINCT subject_id, year_value FROM loaded WHERE (subject_id, year_value) NOT IN (SELECT (subject_id, year_value) FROM books))),
+           in_book AS (SELECT l.*, b.book_id FROM loaded l JOIN all_books b USING (subject_id, year_value)),
+           typed AS (SELECT DISTINCT book_id, option_number, exam_type FROM in_book),
+           all_options AS (SELECT o.option_id, o.book_id, o.option_number, coalesce(t.exam_type, o.exam_type) AS exam_type FROM (
+             SELECT option_id, book_id, option_number, exam_type FROM options UNION ALL
+             SELECT (SELECT max(option_id) FROM options) + row_number() OVER (ORDER BY book_id, option_number), book_id, option_number, exam_type
+             FROM typed WHERE (book_id, option_number) NOT IN (SELECT (book_id, option_number) FROM options)) o LEFT JOIN typed t USING (book_id, option_number)),
+           in_option AS (SELECT l.*, o.option_id FROM in_book l JOIN all_options o USING (book_id, option_number)),
+           all_questions AS (SELECT q.question_id, q.option_id, q.part, q.question_number, CASE WHEN n.option_id IS NULL THEN q.answer ELSE n.answer END AS answer,
+               n.object_key, n.content_hash FROM (
+             SELECT question_id, option_id, part, question_number, answer FROM questions UNION ALL
+             SELECT (SELECT max(question_id) FROM questions) + row_number() OVER (ORDER BY option_id, part, question_number), option_id, part, question_number, answer
+             FROM in_option i WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.option_id = i.option_id AND q.part = i.part AND q.question_number = i.question_number)) q
+             LEFT JOIN in_option n USING (option_id, part, question_number))
+           SELECT b.subject_id, b.year_value, b.book_id, o.option_id, o.option_number, o.exam_type, q.question_id, q.part, q.question_number, q.answer,
+             coalesce(q.object_key, i.object_key) AS object_key, coalesce(q.content_hash, i.content_hash) AS content_hash,
+             CASE WHEN q.object_key IS NULL THEN i.telegram_file_id END AS telegram_file_id
+           FROM all_questions q JOIN all_options o USING (option_id) JOIN all_books b USING (book_id) LEFT JOIN images i ON i.question_id = q.question_id""",
+    ),
     "manifest_diff": """
         WITH a AS (SELECT source || '/' || doc_id::VARCHAR AS path, md5(CASE WHEN doc_id % 11 = 0 THEN reverse(text) ELSE text END) AS d FROM documents WHERE doc_id % 7 <> 0),
         b AS (SELECT source || '/' || doc_id::VARCHAR AS path, md5(CASE WHEN doc_id % 13 = 0 THEN reverse(text) ELSE text END) AS d FROM documents WHERE doc_id % 9 <> 0)
