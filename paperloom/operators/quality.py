@@ -28,54 +28,62 @@ def _checks() -> list[tuple[str, str, Column]]:
     ]
 
 
-def _key(table: str) -> Column:
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in schemas.UNIQUE_KEYS[table][0]])
+def _text(columns: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("string") for c in columns])
 
 
-def check_violations(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Rows a CHECK would refuse, every rule of a table in one pass over it.
+def _claims(rows: DataFrame, table: str, present: set[str]) -> DataFrame | None:
+    """(rule, table, key, _parent, _at): in one pass over a table, a row for every broken CHECK and one for every reference.
 
-    A comparison with null passes, as it does in SQL.
+    What a reference names is _at in the table _parent; a broken rule names nothing. A comparison with null passes, as it does in SQL,
+    and so does a null reference.
     """
-    rules: dict[str, list[Column]] = {}
-    for rule, table, holds in _checks():
-        rules.setdefault(table, []).append(F.when(~holds, F.lit(rule)))
-    return [
-        tables[table]
-        .select(_key(table).alias("key"), F.explode(F.array_compact(F.array(*broken))).alias("rule"))
-        .select("rule", F.lit(table).alias("table"), "key")
-        for table, broken in rules.items()
-        if table in tables
-    ]
-
-
-def key_violations(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Values of a unique key more than one row holds."""
-    found = []
-    for table, keys in schemas.UNIQUE_KEYS.items():
-        for key in keys if table in tables else []:
-            text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
-            repeated = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-            found.append(repeated.select(F.lit("unique " + ", ".join(key)).alias("rule"), F.lit(table).alias("table"), text.alias("key")))
-    return found
-
-
-def reference_violations(tables: dict[str, DataFrame]) -> list[DataFrame]:
-    """Child rows whose parent is missing."""
-    found = []
-    for child, column, parent, parent_key, _ in schemas.FOREIGN_KEYS:
-        if child not in tables or parent not in tables:
-            continue
-        held = tables[parent].select(F.col(parent_key).alias(column))
-        named = tables[child].filter(F.col(column).isNotNull())
-        orphans = named.join(held, column, "left_anti")
-        found.append(orphans.select(F.lit(f"{column} refers to {parent}").alias("rule"), F.lit(child).alias("table"), _key(child).alias("key")))
-    return found
+    nothing = F.lit(None).cast("string")
+    made = []
+    for rule, of, holds in _checks():
+        if of == table:
+            made.append(F.when(~holds, F.struct(F.lit(rule).alias("rule"), nothing.alias("_parent"), nothing.alias("_at"))))
+    for child, column, parent, _, _ in schemas.FOREIGN_KEYS:
+        if child == table and parent in present:
+            named = F.struct(F.lit(f"{column} refers to {parent}").alias("rule"), F.lit(parent).alias("_parent"), F.col(column).cast("string").alias("_at"))
+            made.append(F.when(F.col(column).isNotNull(), named))
+    if not made:
+        return None
+    key = F.array_join(_text(schemas.UNIQUE_KEYS[table][0]), "|")
+    each = rows.select(key.alias("key"), F.explode(F.array_compact(F.array(*made))).alias("_c"))
+    return each.select("_c.rule", F.lit(table).alias("table"), "key", "_c._parent", "_c._at")
+
+
+def _key_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rule, primary, values, _n): how many rows hold each value of each unique key, all keys of a table in one pass."""
+    parts = []
+    for table, rows in tables.items():
+        keys = [
+            F.struct(F.lit("unique " + ", ".join(key)).alias("rule"), F.lit(i == 0).alias("primary"), _text(key).alias("values"))
+            for i, key in enumerate(schemas.UNIQUE_KEYS[table])
+        ]
+        parts.append(rows.select(F.lit(table).alias("table"), F.explode(F.array(*keys)).alias("_k")).select("table", "_k.*"))
+    return reduce(DataFrame.unionByName, parts).groupBy("table", "rule", "primary", "values").agg(F.count(F.lit(1)).alias("_n"))
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    every = check_violations(tables) + key_violations(tables) + reference_violations(tables)
-    return reduce(DataFrame.unionByName, every)
+    """Rows a CHECK would refuse, values of a unique key that more than one row holds, and rows whose parent is missing.
+
+    Every table is read twice: for its keys, counted in one grouping that also tells which parents there are, and for its claims.
+    All claims are held against the parents in one join; a broken CHECK names no parent and always stays.
+    """
+    counts = _key_counts(tables)
+    repeated = counts.filter("_n > 1").select("rule", "table", F.array_join("values", "|").alias("key"))
+    # One condition with the count in it: it stays above the grouping, so that both branches read the same one.
+    parents = counts.filter("IF(primary, _n, 0) > 0")
+    held = parents.select(F.col("table").alias("_parent"), F.get("values", F.lit(0)).alias("_at"), F.lit(True).alias("_here"))
+    made = [_claims(rows, table, set(tables)) for table, rows in tables.items()]
+    claims = [c for c in made if c is not None]
+    if not claims:
+        return repeated
+    # Not an anti join: that would be pushed below the union, and the parents worked out once a table.
+    broken = reduce(DataFrame.unionByName, claims).join(held, ["_parent", "_at"], "left").filter("_here IS NULL")
+    return repeated.unionByName(broken.select("rule", "table", "key"))
 
 
 def violation_counts(found: DataFrame) -> DataFrame:
