@@ -74,9 +74,10 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """
     counts = _key_counts(tables)
     repeated = counts.filter("_n > 1").select("rule", "table", F.array_join("values", "|").alias("key"))
-    # One condition with the count in it: it stays above the grouping, so that both branches read the same one.
+    # The condition holds the count and the value is never null, so nothing is pushed below the grouping and both branches read the
+    # same one. No reference is an empty text.
     parents = counts.filter("IF(primary, _n, 0) > 0")
-    held = parents.select(F.col("table").alias("_parent"), F.get("values", F.lit(0)).alias("_at"), F.lit(True).alias("_here"))
+    held = parents.select(F.col("table").alias("_parent"), F.coalesce(F.get("values", F.lit(0)), F.lit("")).alias("_at"), F.lit(True).alias("_here"))
     made = [_claims(rows, table, set(tables)) for table, rows in tables.items()]
     claims = [c for c in made if c is not None]
     if not claims:
