@@ -190,20 +190,21 @@ def training_sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col=
     """At most SAMPLE_DOCS different texts of each language, those with the smallest hashes, and of each at most SAMPLE_CHARS
     characters from where the hash points. Held-out documents, null languages and null texts are not in it.
 
-    Different texts are counted first (one row a language), so that those beyond about twice the sample are dropped where they are
-    read: no task receives more, however large the table.
+    Different texts are counted first (one number a language, as the sample itself holds texts of each), so that those beyond about
+    twice the sample are dropped where they are read: no task receives more, however large the table.
     """
     known = docs.where((fold(F.col(id_col)) != 1) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     hashed = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()
+    if not sizes:
+        return []
+    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, 2 * SAMPLE_DOCS / max(r.texts, 1)) * HASHES))])
     place = F.pmod("h", F.lit(HASHES))
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
-    limits = sizes.select(F.col("lang").alias("l"), F.ceil(F.least(F.lit(1.0), 2 * SAMPLE_DOCS / F.col("texts")) * HASHES).alias("limit"))
-    likely = hashed.join(limits, (F.col("lang") == F.col("l")) & (place < F.col("limit")))
     start = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
     piece = F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS))
-    different = likely.select("lang", "h", place.alias("place"), piece.alias("piece")).dropDuplicates(["lang", "h"])
+    likely = hashed.where(place < F.try_element_at(limits, F.col("lang"))).select("lang", "h", place.alias("place"), piece.alias("piece"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))
-    cut = different.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
+    cut = likely.dropDuplicates(["lang", "h"]).withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS)
     return [(r.lang, r.piece.encode()) for r in sorted(cut.collect(), key=lambda r: (r.lang, r.rank))]
 
 
