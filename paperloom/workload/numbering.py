@@ -413,13 +413,13 @@ _EDITED = """ids AS (SELECT user_id AS book, strftime(ts, '%Y-%m-%d') AS page, e
         'ex': a.ex + CASE e.act WHEN 'move' THEN e.ex ELSE 0 END, 'ey': a.ey + CASE e.act WHEN 'move' THEN e.ey ELSE 0 END,
         'place': CASE WHEN e.act = 'place' AND e.place IS NOT NULL THEN e.place ELSE a.place END, 'gone': a.gone OR e.act = 'delete'}) AS z
     FROM origins o LEFT JOIN log USING (book, page, ord) LEFT JOIN sorts USING (book, page)),
-  reviewed AS (SELECT book, page, ord, z.lab AS label, z.ro AS reading_option, z.rp AS reading_part, z.j AS joins_next, l + z.x AS l, t + z.y AS t, r + z.x AS r, b + z.y AS b,
+  reviewed AS MATERIALIZED (SELECT book, page, ord, z.lab AS label, z.ro AS reading_option, z.rp AS reading_part, z.j AS joins_next, l + z.x AS l, t + z.y AS t, r + z.x AS r, b + z.y AS b,
       z.ox AS offset_x, z.oy AS offset_y, row_number() OVER (PARTITION BY book, page ORDER BY
         coalesce(z.place, CASE WHEN s IS NULL THEN ord::DOUBLE WHEN since < s THEN 0 ELSE 'inf'::DOUBLE END),
         CASE WHEN z.place IS NULL AND since < s THEN t + z.ey ELSE 0 END, CASE WHEN z.place IS NULL AND since < s THEN l + z.ex ELSE 0 END, ord) AS place
     FROM ended WHERE NOT z.gone)"""
 _REVIEW_WALK = f"""{_EDITED},
-  rows AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, ord) AS rn FROM (
+  rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, ord) AS rn FROM (
     SELECT DISTINCT book, page, 0::BIGINT AS ord, 'page' AS label, NULL::INT AS ro, NULL::VARCHAR AS rp, false AS joins,
       substr(page, 9, 2)::INT % 7 <> 0 AND NOT coalesce(skip, false) AS reads, coalesce(discard, false) AS discard, entry_option, entry_part, entry_question
       FROM regions LEFT JOIN decisions USING (book, page)
