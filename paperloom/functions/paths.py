@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import integer_text, whole_number
+from paperloom.functions.text import whole_number
 
 # File suffixes that count as images, and the corpus naming rules.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff")
@@ -62,7 +62,8 @@ def sheet_year_number(sheet_stem: Column) -> Column:
 
 def question_digits(path: Column) -> Column:
     """The number an image file is named by, as text of any length without leading zeros; null for any other name."""
-    return F.when(is_image(path), integer_text(F.regexp_extract(path, r"(?:^|/)(\d+)\.[^./]+\z", 1)))
+    # One pattern: a rule put together of several is worked out anew wherever a filter repeats it.
+    return F.nullif(F.regexp_extract(path, rf"(?:^|/)0*(\d+)\.(?i:{'|'.join(IMAGE_SUFFIXES)})\z", 1), F.lit(""))
 
 
 def question_number(path: Column) -> Column:

@@ -49,6 +49,14 @@ def integer_text(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?\d+\z"), F.when(digits == "", "0").otherwise(F.concat(sign, digits)))
 
 
+def worked_out(value: Column) -> Column:
+    """*value* as a row's only element, to be selected: what later filters and columns read of it is not worked out anew for each.
+
+    A filter above a plain column is moved below it with the column's expression in every place that names it.
+    """
+    return F.explode(F.array(value))
+
+
 def natural_sort_key(stem: Column) -> Column:
     """A string whose plain order compares digit runs as numbers and the rest lower-cased.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import exam, paths
-from paperloom.functions.text import whole_number
+from paperloom.functions.text import whole_number, worked_out
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -51,9 +51,10 @@ def question_images(manifest: DataFrame) -> DataFrame:
 
     ``digits`` is the number's text; ``number`` is null for one that no long holds, which no stored question can have.
     """
-    parts = F.split("object_key", "/")
-    digits = paths.question_digits(F.col("object_key"))
-    return manifest.filter((F.size(parts) == 5) & digits.isNotNull()).select(
+    told = F.struct(F.split("object_key", "/").alias("parts"), paths.question_digits(F.col("object_key")).alias("digits"))
+    named = manifest.select("*", worked_out(told).alias("_told"))
+    parts, digits = F.col("_told.parts"), F.col("_told.digits")
+    return named.filter((F.size(parts) == 5) & digits.isNotNull()).select(
         *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(("subject", "year", "option", "part"))],
         digits.try_cast("long").alias("number"),
         digits.alias("digits"),
