@@ -84,7 +84,7 @@ def expand_topics(topic_rows: DataFrame, subjects: DataFrame, books: DataFrame,
     and keys the corpus does not hold map nothing.
     """
     key = text.question_key(F.col("raw_key"))
-    named = topic_rows.select("subject", "topic", F.col("year").alias("year_value"), exam.valid_exam_type(F.col("exam_type")).alias("exam_type"), key.alias("_key"))
+    named = topic_rows.select("subject", "topic", F.col("year").alias("year_value"), exam.valid_exam_type(F.col("exam_type")).alias("exam_type"), text.worked_out(key).alias("_key"))
     named = named.filter("exam_type IS NOT NULL AND _key IS NOT NULL").select(
         "subject", "topic", "year_value", "exam_type", F.col("_key.part").alias("part"), F.col("_key.number").alias("question_number")
     )
