@@ -27,6 +27,11 @@ def test_slots_take_a_path_apart_once(spark, small):
     assert times(r"concat_ws\(", corpus.slots_taken(spark, small)) == 1
 
 
+def test_loads_take_a_path_apart_once_a_branch(spark, small):
+    """A load reads the tree for the images and for the typed answers."""
+    assert times(r"concat_ws\(", corpus.seed_loads(spark, small)) == 2
+
+
 def test_digits_and_keys_of_awkward_names(spark):
     names = {
         "a/007.png": "7", "000.JPG": "0", "a/12.tiff": "12", "x/" + "9" * 30 + ".Gif": "9" * 30, "a/+7.png": None, "a/7.txt": None,
