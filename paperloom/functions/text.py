@@ -91,7 +91,7 @@ def question_key(raw: Column) -> Column:
     digits is the number's text, of any length; number is null where a long cannot hold it.
     """
     folded = F.translate(F.upper(unicode_trim(raw)), PART_LETTERS_CYRILLIC, PART_LETTERS_LATIN)
-    digits = integer_text(F.regexp_extract(folded, r"^[AB](\d+)\z", 1))
+    digits = F.nullif(F.regexp_extract(folded, r"^[AB]0*(\d+)\z", 1), F.lit(""))
     return F.when(
         digits.isNotNull(),
         F.struct(F.substring(folded, 1, 1).alias("part"), digits.try_cast("long").alias("number"), digits.alias("digits")),

@@ -32,6 +32,11 @@ def test_loads_take_a_path_apart_once_a_branch(spark, small):
     assert times(r"concat_ws\(", corpus.seed_loads(spark, small)) == 2
 
 
+def test_a_typed_key_is_read_once(spark, small):
+    """No filter holds the key's rule: it is in the one column that is worked out."""
+    assert not [line for line in plan_of(corpus.topic_expansion(spark, small)).splitlines() if "Filter" in line and "regexp_extract" in line]
+
+
 def test_digits_and_keys_of_awkward_names(spark):
     names = {
         "a/007.png": "7", "000.JPG": "0", "a/12.tiff": "12", "x/" + "9" * 30 + ".Gif": "9" * 30, "a/+7.png": None, "a/7.txt": None,
