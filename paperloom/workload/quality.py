@@ -50,7 +50,7 @@ def violations(spark, folder):
 
 
 def violation_counts(spark, folder):
-    return quality.violation_counts(violations(spark, folder))
+    return quality.counted_violations(_tables(spark, folder))
 
 
 QUERIES = {f.__name__: f for f in (violations, violation_counts)}
