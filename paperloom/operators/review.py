@@ -75,7 +75,7 @@ def reviewed_regions(regions: DataFrame, edits: DataFrame) -> DataFrame:
     first. A page's last ``sort`` takes all regions there at place 0, in the reading order of their outlines then; what is drawn later
     stands behind. Edits of regions that do not exist, and joins of what is no question, do nothing.
 
-    The result is written once: both the fold and the layout read it.
+    What the edits make of each region is written once, and so is the result: both the fold and the layout read it.
     """
     sorts = edits.filter("action = 'sort'").groupBy(*_PAGE).agg(F.max("seq").alias("_sorted"))
     rows = _histories(regions, edits).join(sorts, _PAGE, "left")
@@ -123,7 +123,8 @@ def reviewed_regions(regions: DataFrame, edits: DataFrame) -> DataFrame:
         F.coalesce(F.when(by_reading, geometry.min_y(then)), zero).alias("_top"),
         F.coalesce(F.when(by_reading, geometry.min_x(then)), zero).alias("_left"),
     )
-    return cut_lineage(running(keyed, _PAGE, ["_place", "_top", "_left", "ord"], rank="place").drop("_place", "_top", "_left"))
+    # Ordering a page reads these rows three times, the hot keys and their slices ahead of the rows themselves.
+    return cut_lineage(running(cut_lineage(keyed), _PAGE, ["_place", "_top", "_left", "ord"], rank="place").drop("_place", "_top", "_left"))
 
 
 def question_pieces(regions: DataFrame, outcomes: DataFrame, carried: DataFrame) -> DataFrame:

@@ -187,8 +187,8 @@ def _reviewed(t: Tables):
     return review.reviewed_regions(_outlined(t), _edits(t))
 
 
-def reviewed_rows(t: Tables):
-    in_order = _reviewed(t).drop("ord").withColumnRenamed("place", "ord")
+def reviewed_rows(t: Tables, reviewed=None):
+    in_order = (_reviewed(t) if reviewed is None else reviewed).drop("ord").withColumnRenamed("place", "ord")
     return numbering.fold_rows(_pages(t), in_order, _folders(t), review.page_decisions(_edits(t)))
 
 
@@ -211,8 +211,9 @@ def reviewed_books(spark, folder):
 def reviewed_layout(spark, folder):
     """Every placed question's pieces stacked as the reviewer lined them up, carried ones on top."""
     t = Tables(spark, folder)
-    outcomes = numbering.page_outcomes(numbering.number_books(reviewed_rows(t)))
-    pieces = review.question_pieces(_reviewed(t), outcomes, numbering.carried_into(outcomes))
+    reviewed = _reviewed(t)
+    outcomes = numbering.page_outcomes(numbering.number_books(reviewed_rows(t, reviewed)))
+    pieces = review.question_pieces(reviewed, outcomes, numbering.carried_into(outcomes))
     laid = numbering.stack_layout(pieces.withColumn("stack", F.struct("book", "page", "position")))
     return laid.select("stack.*", F.col("place.page").alias("piece_page"), F.col("place.ord").alias("piece"), "x", "y", "canvas_width", "canvas_height")
 
