@@ -161,3 +161,63 @@ def test_sample_is_bounded_and_holds_different_findings(spark):
 
 def test_empty_table(spark, model):
     assert secret_scan.scan_secrets(spark.createDataFrame([], DOCUMENTS), model=model).count() == 0
+
+
+def candidates_of(gathered):
+    rows = gathered.selectExpr("explode(others) AS c").select("c.*").distinct().collect()
+    return sorted({(bytes(r.before), bytes(r.inside), bytes(r.after), int(r.found)) for r in rows})
+
+
+def test_model_comes_from_every_candidate(spark):
+    """More different candidates than a bounded sample would hold: scores are those of the model of all of them."""
+    md5 = [hashlib.md5(str(i).encode()).hexdigest() for i in range(9000)]
+    rows = [(i, f"at {md5[i][:6]} token = {md5[i]}", *[None] * 7) for i in range(2500)]
+    rows += [(10_000 + i, f"of {md5[i][:5]} card {10**15 + i} ok", *[None] * 7) for i in range(5000)]
+    missed = [e[1].decode() for e in secret_scan.made_up([], 30, 99) if e[3]]
+    rows += [(20_000 + i, f"use {x} now", *[None] * 7) for i, x in enumerate(missed)]
+    docs = documents(spark, rows)
+    every = candidates_of(secret_scan.gather(docs))
+    assert len(every) > 7500
+    scored = [(r.doc_id, s.score) for r in secret_scan.scan_secrets(docs).collect() for s in r.findings if s.kind == "learned"]
+    p, reached = secret_scan.judged(secret_scan.train(every), every)
+    want = sorted(float(x) for x, ok, e in zip(p, reached, every, strict=True) if ok and not e[3])
+    assert want and sorted(x for _, x in scored) == want
+
+
+def test_shards_take_part_whole_and_in_any_order(spark):
+    rows = [(i, f"token = {hashlib.md5(str(i).encode()).hexdigest()} card {10**15 + i} ok", *[None] * 7) for i in range(200)]
+    gathered = secret_scan.gather(documents(spark, rows))
+    model = secret_scan.learn(gathered, 150, 40, shard=60)
+    again = secret_scan.learn(gathered.unionByName(gathered).repartition(5), 150, 40, shard=60)
+    assert model["limits"] == again["limits"] and all((w == again["weights"][n]).all() for n, w in model["weights"].items())
+    one = secret_scan.learn(gathered, 150, 40)
+    want = secret_scan.train(candidates_of(gathered), 150, 40)
+    assert one["limits"] == want["limits"] and all((w == want["weights"][n]).all() for n, w in one["weights"].items())
+    assert any((w != want["weights"][n]).any() for n, w in model["weights"].items())
+
+
+def test_every_byte_and_every_example_is_learned_from():
+    rng = random.Random(3)
+    inside = [bytes(rng.choices(b"abcDEF0123", k=n)) for n in (16, 95, 96, 97, 5000)]
+    for raw in inside:
+        cut = secret_scan.pieces((b"x", raw, b"y", 1))
+        assert b"".join(i for _, i, _, _ in cut) == raw and {(b, a, k) for b, _, a, k in cut} == {(b"x", b"y", 1)}
+        assert max(len(i) for _, i, _, _ in cut) <= secret_scan.SAMPLE_BYTES and min(len(i) for _, i, _, _ in cut) >= 16
+    sample = [(b"", raw, b"", k % 2) for k, raw in enumerate(inside)]
+    learned, kept = secret_scan.examples_of(sample, 5, 0, 0)
+    assert all(any(e[1].startswith(i) for _, i, _, _ in learned) or e in kept for e in sample)
+    for ones in (1, 7, 3000):
+        labels = np.array([1] * ones + [0] * 100)
+        plan = secret_scan.schedule(labels, 5, np.random.default_rng(0))
+        assert set(plan.ravel().tolist()) == set(range(len(labels))) and len(plan) % secret_scan.ROUNDS == 0
+        assert (labels[plan].sum(1) == secret_scan.BATCH // 2).all()
+
+
+def test_counted_thresholds_and_calibration_are_those_of_single_scores():
+    rng = np.random.default_rng(4)
+    z, n = rng.integers(-9, 9, 40), rng.integers(1, 9, 40)
+    labels = (rng.random(40) < 0.5).astype(int)
+    many = np.repeat(np.arange(40), n)
+    assert secret_scan.calibration(z, labels, n) == pytest.approx(secret_scan.calibration(z[many], labels[many]))
+    for recall in (0.3, 0.95, 1.0):
+        assert secret_scan.threshold(z / 9, recall, n) == secret_scan.threshold(z[many] / 9, recall)
