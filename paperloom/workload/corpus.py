@@ -62,9 +62,9 @@ def question_tree(spark, folder):
     stem = F.concat(F.when(i % 30 == 11, "n").otherwise(""), (F.floor(i / 10) % 25 + 1).cast("string"), F.when(i % 300 == 200, "9" * 20).otherwise(""))
     suffix = F.when(i % 20 == 5, "txt").when(i % 2 == 0, "png").otherwise("JPG")
     subject = F.concat(F.lit("subject"), (F.floor(i / 1750)).cast("string"))
-    return Tables(spark, folder).read("part").select(
-        F.concat_ws("/", subject, year, option, part, F.concat(stem, F.lit("."), suffix)).alias("object_key")
-    )
+    # Dealt out first: a file of few row groups would have one task work out and take apart every path.
+    dealt = Tables(spark, folder).read("part").select("p_partkey", "p_size").repartition("p_partkey")
+    return dealt.select(F.concat_ws("/", subject, year, option, part, F.concat(stem, F.lit("."), suffix)).alias("object_key"))
 
 
 def question_images(spark, folder):

@@ -32,6 +32,14 @@ def test_loads_take_a_path_apart_once_a_branch(spark, small):
     assert times(r"concat_ws\(", corpus.seed_loads(spark, small)) == 2
 
 
+def test_paths_are_worked_out_by_every_task(spark, small):
+    """The rows of a tree are dealt out below the step that makes its paths, whatever row groups the table has."""
+    for query in (corpus.seed_loads, corpus.admitted_answers, corpus.seedable_images, corpus.question_images, corpus.highest_numbers, corpus.slots_taken):
+        lines = plan_of(query(spark, small)).splitlines()
+        made = [k for k, line in enumerate(lines) if "concat_ws(" in line]
+        assert made and all("RepartitionByExpression [p_partkey" in lines[k + 1] for k in made), query.__name__
+
+
 def test_a_typed_key_is_read_once(spark, small):
     """No filter holds the key's rule: it is in the one column that is worked out."""
     assert not [line for line in plan_of(corpus.topic_expansion(spark, small)).splitlines() if "Filter" in line and "regexp_extract" in line]
