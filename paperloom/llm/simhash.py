@@ -99,7 +99,8 @@ def link_fingerprints(prints: DataFrame, count: int = REFERENCES) -> DataFrame:
         right = right.withColumn(f"c{p}", F.explode(cells))
     right = right.withColumnRenamed("fp", "b")
     close = reduce(lambda x, y: x & y, [F.abs(F.col(f"a{p}") - F.col(p)) <= BITS for p in names])
-    met = left.join(right, ["part", "value", *[f"c{p}" for p in keyed]]).where((F.col("a") < F.col("b")) & close)
+    # Spark sizes an exploded table as it was before: unhinted, it would broadcast several hundred MB as less than 10.
+    met = left.join(right.hint("merge"), ["part", "value", *[f"c{p}" for p in keyed]]).where((F.col("a") < F.col("b")) & close)
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b").distinct()
 
 
@@ -110,7 +111,9 @@ def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = components(link_fingerprints(distinct)).withColumnRenamed("node", "fp")
     rooted = settle(distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select("id", "tkey", "fp", "root", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    # Every row has its match. The outer join keeps the table of all rows from being broadcast: copies take next to no room in its file.
+    return prints.join(named, "fp", "left").select("id", "tkey", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

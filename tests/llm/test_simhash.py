@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 import xxhash
@@ -45,6 +46,22 @@ def test_no_link_is_missed_and_none_is_wrong(spark):
     assert as_rows(got) == sorted(want, key=repr) and want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_exploded_table_is_not_broadcast(spark):
+    plan = plan_of(simhash.link_fingerprints(spark.range(5).selectExpr("id AS fp")))
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_the_table_of_all_rows_is_not_broadcast(spark):
+    copies = spark.range(2000).selectExpr("id AS doc_id", "sha(cast(id % 600 AS string)) AS text")
+    told = simhash.near_duplicates(copies)
+    assert sorted(r.component_id for r in told.collect()) == sorted(i % 600 for i in range(2000))
+    assert not re.search(r"HashJoin \[fp#\w+\], \[fp#\w+\], \w+, BuildLeft", plan_of(told))
+
+
 def test_references_are_32_bits_apart():
     rows = [r & (2**64 - 1) for r in simhash.references(63)]
     assert {bin(a ^ b).count("1") for a in rows for b in rows if a != b} == {32}
