@@ -129,12 +129,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One document of each group: the one whose id names the group, and of rows that share that id one. Columns as given."""
     naming = grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
     counted = naming.groupBy("root", "id", "tkey").agg(F.count("*").alias("n"))
-    chosen = counted.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct("tkey", "id", "n")).alias("_x"))
-    chosen = chosen.select("_root", F.col("_x.id").alias("_id"), F.col("_x.tkey").alias("_tkey"), F.col("_x.n").alias("_n"))
-    kept = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tkey")))
-    single = kept.where("_n = 1").select(*docs.columns)
+    chosen = counted.groupBy("root").agg(F.min(F.struct("tkey", "id", "n")).alias("_x"))
+    chosen = chosen.select(F.col("_x.id").alias("_id"), F.col("_x.tkey").alias("_tkey"), F.col("_x.n").alias("_n"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tkey"))
+    # Semi joins: the table of all rows is never the one that is broadcast.
+    single = docs.join(chosen.where("_n = 1"), same, "left_semi")
+    repeated = docs.join(chosen.where("_n > 1"), same, "left_semi")
     first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
-    return single.unionByName(kept.where("_n > 1").groupBy("_root").agg(first).select("_row.*"))
+    return single.unionByName(repeated.groupBy(id_col, F.xxhash64(text_col).alias("_tkey")).agg(first).select("_row.*"))
 
 
 def op2(spark, sf_dir):

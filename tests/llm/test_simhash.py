@@ -62,6 +62,13 @@ def test_the_table_of_all_rows_is_not_broadcast(spark):
     assert not re.search(r"HashJoin \[fp#\w+\], \[fp#\w+\], \w+, BuildLeft", plan_of(told))
 
 
+def test_documents_are_not_broadcast_when_one_of_each_group_is_kept(spark):
+    copies = spark.range(2000).selectExpr("id AS doc_id", "sha(cast(id % 600 AS string)) AS text")
+    kept = simhash.keep_one(copies)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(600))
+    assert not re.search(r"HashJoin \[coalesce\(doc_id#[^\n]*BuildLeft", plan_of(kept))
+
+
 def test_references_are_32_bits_apart():
     rows = [r & (2**64 - 1) for r in simhash.references(63)]
     assert {bin(a ^ b).count("1") for a in rows for b in rows if a != b} == {32}
